@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -146,7 +147,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20)
     stay small however many rows a batch has.  One long text is one slice: texts are never cut."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(column))
-        size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0)).astype(np.int64)
+        size = np.asarray(pc.fill_null(pc.binary_length(col), 0)).astype(np.int64)
         ends, start, total = size.cumsum(), 0, 0
         while start < batch.num_rows:
             stop = max(start + 1, int(np.searchsorted(ends, total + limit, side="right")))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fingerprint, mixing
+from . import chat, decontam, fingerprint, mixing
 
-MODULES = (mixing, fingerprint)
+MODULES = (mixing, decontam, chat, fingerprint)
 
 
 def queries() -> dict:
