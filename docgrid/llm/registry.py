@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, fingerprint, mixing
+from . import chat, decontam, fingerprint, langid, mixing, warc
 
-MODULES = (mixing, decontam, chat, fingerprint)
+MODULES = (warc, mixing, langid, decontam, chat, fingerprint)
 
 
 def queries() -> dict:
