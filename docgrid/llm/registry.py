@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, fingerprint, langid, mixing, pii, warc
+from . import chat, decontam, fingerprint, langid, mixing, ngram_join, pii, warc
 
-MODULES = (warc, mixing, langid, decontam, pii, chat, fingerprint)
+MODULES = (warc, mixing, langid, ngram_join, decontam, pii, chat, fingerprint)
 
 
 def queries() -> dict:
