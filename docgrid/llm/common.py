@@ -96,6 +96,19 @@ def id_back(name: str) -> Column:
     return F.when(F.col(name) != LAST_ID, F.col(name))
 
 
+#: Slots of :func:`slot_filter`; its broadcast has at most so many numbers, whatever the data.
+SLOTS = 1 << 20
+
+
+def slot_filter(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows whose key's hash slot holds any of ``keys``: a superset of the exact semi-join, cut
+    down before texts are shuffled.  When there are more keys than slots it lets all pass; the join that
+    follows decides."""
+    slot = F.pmod(F.xxhash64(*on), F.lit(SLOTS)).alias("_slot")
+    taken = keys.select(slot).distinct()
+    return rows.withColumn("_slot", slot).join(F.broadcast(taken), "_slot", "left_semi").drop("_slot")
+
+
 # ---------------------------------------------------------------------------------------------
 # token arrays
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, fingerprint, langid, line_dedup, mixing, ngram_join, pii, warc
+from . import chat, decontam, fingerprint, langid, line_dedup, mixing, ngram_join, pii, substring_dedup, warc
 
-MODULES = (warc, mixing, langid, ngram_join, decontam, line_dedup, pii, chat, fingerprint)
+MODULES = (warc, mixing, langid, ngram_join, substring_dedup, decontam, line_dedup, pii, chat, fingerprint)
 
 
 def queries() -> dict:
