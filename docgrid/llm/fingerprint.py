@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, id_back, id_col, materialize, read
+from .common import LAST_ID, id_back, id_col, materialize, read, slot_filter
 
 #: White space as Unicode's White_Space property has it.
 SPACE = r"[\u0009-\u000D \u0085   -     　]+"
@@ -41,8 +41,8 @@ def successors(docs: DataFrame, digest=bucket) -> DataFrame:
     """_id, text, own and the same of the row that follows in order of (_id, text): next_id,
     next_text, next_own.
 
-    Blocks of ids stand in for a global window: a lead inside each block, and for its last row the
-    first row of the next block that has any.  Blocks are ranges of ids of about equal width; ids
+    Blocks of ids stand in for a global window: a lead inside each block, which is closed by a copy of
+    the first row of the next block that has any.  Blocks are ranges of ids of about equal width; ids
     that crowd into one range make that block larger, never wrong.
     """
     docs = docs.select(id_col().alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -52,23 +52,16 @@ def successors(docs: DataFrame, digest=bucket) -> DataFrame:
     width = max(1, (high - low + 1) * ROWS_A_BLOCK // max(1, n))
     block = F.when(F.col("_id") == LAST_ID, F.lit((high - low) // width + 1)).otherwise(F.expr(f"(_id - {low}L) div {width}L"))
     docs = docs.withColumn("_block", block.cast("long"))
-    rows = docs.withColumn("own", digest(canonical(F.col("text"))))
-    inside = rows.withColumn("_next", F.lead(F.struct("_id", "text", "own")).over(Window.partitionBy("_block").orderBy("_id", "text")))
-    # the first row of each block, one for about ROWS_A_BLOCK documents, goes to the block before it
-    firsts = docs.groupBy("_block").agg(F.min(F.struct("_id", "text")).alias("_first"))
-    blocks = firsts.select("_block", F.col("_first._id").alias("_first_id"))
-    heads = materialize(blocks, "fp-blocks")
-    heads = heads.select("_block", F.lead("_block").over(Window.orderBy("_block")).alias("_to"))
-    heads = heads.withColumn("_to", F.coalesce("_to", F.lit(0 if n else (high - low) // width + 1)))
-    first = firsts.select(F.col("_block").alias("_to"), F.col("_first._id").alias("_id"), F.col("_first.text").alias("text"))
-    first = first.withColumn("own", digest(canonical(F.col("text"))))
-    heads = heads.join(first, "_to").select("_block", F.struct("_id", "text", "own").alias("_head"))
-    last = inside.where(F.col("_next").isNull()).drop("_next").join(heads, "_block").withColumnRenamed("_head", "_next")
-    return (
-        inside.where(F.col("_next").isNotNull())
-        .unionByName(last)
-        .select("_id", "text", "own", F.col("_next._id").alias("next_id"), F.col("_next.text").alias("next_text"), F.col("_next.own").alias("next_own"))
-    )
+    # the first row of each block, one for about ROWS_A_BLOCK documents, also closes the block before it
+    firsts = materialize(docs.groupBy("_block").agg(F.min(F.struct("_id", "text")).alias("_first")).select("_block", "_first.*"), "fp-firsts")
+    before = F.lag("_block").over(Window.orderBy("_block"))
+    last = firsts.agg(F.max("_block")).first()[0]
+    closing = firsts.select("_block").withColumn("_to", F.coalesce(before, F.lit(last)))
+    closing = firsts.join(closing, "_block").select("_id", "text", F.col("_to").alias("_block"), F.lit(True).alias("_closes"))
+    rows = docs.withColumn("_closes", F.lit(False)).unionByName(closing).withColumn("own", digest(canonical(F.col("text"))))
+    order = Window.partitionBy("_block").orderBy("_closes", "_id", "text")
+    led = rows.withColumn("_next", F.lead(F.struct("_id", "text", "own")).over(order)).where("not _closes")
+    return led.select("_id", "text", "own", F.col("_next._id").alias("next_id"), F.col("_next.text").alias("next_text"), F.col("_next.own").alias("next_own"))
 
 
 def edited_text(text: Column, following: Column) -> Column:
@@ -91,6 +84,7 @@ def conflicts(rows: DataFrame, docs: DataFrame, digest=bucket) -> DataFrame:
     wanted = materialize(wanted, "fp-wanted")
     ids = wanted.select("_id", "_text").union(wanted.where("edited").select("next_id", "_following")).distinct()
     texts = docs.select(id_col().alias("_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("_text", F.xxhash64("text"))
+    texts = slot_filter(texts, ids, ["_id", "_text"])
     texts = materialize(texts.join(ids, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"]), "fp-texts")
     follow = texts.select(F.col("_id").alias("next_id"), F.col("_text").alias("_following"), F.col("text").alias("next_text"))
     own = wanted.where("not edited").join(texts, ["_id", "_text"])
