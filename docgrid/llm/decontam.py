@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import binary, chunks, materialize, read
 
@@ -110,7 +111,7 @@ class Index:
         return start, window
 
 
-def _hits(index: Index, last: bool):
+def _hits(index: Index, last: bool, carry: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = {w: i for i, w in enumerate(index.vocabulary)}
         for part in chunks(batches, "text"):
@@ -145,6 +146,7 @@ def _hits(index: Index, last: bool):
                 yield pa.RecordBatch.from_arrays([*part.columns[:-2], packed, pa.array(names, pa.list_(pa.string()))], part.schema.names)
                 continue
             n_hit = [int(x.sum()) for x in bits]
+            rest = [part.column(part.schema.get_field_index("_row"))] if carry else []
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
@@ -154,21 +156,24 @@ def _hits(index: Index, last: bool):
                     pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]),
                     pa.array([x > 0 for x in n_hit]),
                     pa.array(names, pa.list_(pa.string())),
+                    *rest,
                 ],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"],
+                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", *["_row"] * carry],
             )
 
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items."""
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items; with
+    ``carry`` also ``_row``, all columns of ``docs`` as a struct."""
     items = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")
     )
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
-    state = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumns(
+    own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if carry else []
+    state = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *own).withColumns(
         {"_hit": F.lit(None).cast("binary"), "_items": F.lit(None).cast("array<string>")}
     )
     for b in range(blocks):
@@ -176,11 +181,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_
         index = Index([(r.item, bytes(r.text)) for r in rows], n)
         index.arrange(count_vocabulary(docs, index.vocabulary))
         if b < blocks - 1:
-            state = materialize(state.mapInArrow(_hits(index, False), state.schema), "decontam-block")
-    return state.mapInArrow(
-        _hits(index, True),
-        "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>",
-    )
+            state = materialize(state.mapInArrow(_hits(index, False, carry), state.schema), "decontam-block")
+    schema = StructType.fromDDL("doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
+    return state.mapInArrow(_hits(index, True, carry), schema.add(state.schema["_row"]) if carry else schema)
 
 
 def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,13 +9,14 @@ one edit away (a character changed, added or left out), judged on the input.  Ea
   their lengths allow) with another are of interest: four keys a line.
 * For those, the deletion neighbourhood is emitted as hashed keys: the line with one character left out,
   once with the place of the hole (a changed character: both sides have the same rest and hole) and once
-  without (an added one: the other side is the rest itself).  Keys are sorted by Spark; each line meets the
-  earliest line of each of its keys, in a stream of bounded memory, so a key that very many lines share
-  costs one pair a line.  The edit distance of every such pair is then verified on the texts.
+  without (an added one: the other side is the rest itself, which is emitted whole).  Keys are sorted by
+  Spark.  Of a key with a hole each line meets the earliest; of one without, the whole line, if there is one,
+  meets each of the others.  The stream has bounded memory, and a key that very many lines share costs one
+  pair a line.  The edit distance of every such pair is then verified on the texts.
 
 Defined cases: null text has no lines and stays null; empty text is one empty line, kept; lines shorter than
 MIN_CHARS stay; rows that share doc_id and text are one document; null ids order last; other columns of
-``docs`` ride along in :func:`dedup_lines`.
+``docs`` ride along in :func:`dedup_lines`, packed, so that no name can clash.
 """
 
 from __future__ import annotations
@@ -51,8 +52,12 @@ def half_keys(line: str) -> list[int]:
     return out
 
 
-def variants(line: str, prefix: bool, suffix: bool) -> np.ndarray:
-    """Hashed deletion neighbourhood; ``prefix``: the first half is whole, so holes are behind it."""
+WHOLE, HOLE, GONE = 0, 1, 2
+
+
+def variants(line: str, prefix: bool, suffix: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed deletion neighbourhood, and the kind of each key; ``prefix``: the first half is whole, so holes
+    are behind it."""
     codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
     n = len(codes)
     power = np.ones(n, np.uint64)
@@ -66,7 +71,8 @@ def variants(line: str, prefix: bool, suffix: bool) -> np.ndarray:
     hole = mix(mix(rest) + spots.astype(np.uint64) * np.uint64(2) + np.uint64(1))
     gone = np.unique(mix(mix(rest) + np.uint64(2 * (n - 1) << 20)))
     whole = mix(mix(total[None]) + np.uint64(2 * n << 20))
-    return np.concatenate([hole, gone, whole])
+    kind = np.repeat(np.array([HOLE, GONE, WHOLE], np.int8), [len(hole), len(gone), 1])
+    return np.concatenate([hole, gone, whole]), kind
 
 
 def within_one(x: str, y: str) -> bool:
@@ -104,40 +110,45 @@ def _index(min_chars: int):
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keys of the lines that ``wanted`` names: struct(line, prefix, suffix)."""
     for part in chunks(batches, "text", 1 << 19):
-        keys, doc, th, line = [], [], [], []
+        keys, kinds, doc, th, line = [], [], [], [], []
         for d, t, text, wanted in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
             own = lines_of(text)
             for w in wanted:
-                found = variants(own[w["line"]], w["p"], w["s"])
+                found, kind = variants(own[w["line"]], w["p"], w["s"])
                 keys.append(found)
+                kinds.append(kind)
                 doc.append(np.full(len(found), d))
                 th.append(np.full(len(found), t))
                 line.append(np.full(len(found), w["line"], np.int32))
         if keys:
-            arrays = [signed(np.concatenate(keys)), np.concatenate(doc), np.concatenate(th), np.concatenate(line)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["key", "doc", "th", "line"])
+            arrays = [signed(np.concatenate(keys)), np.concatenate(kinds), np.concatenate(doc), np.concatenate(th), np.concatenate(line)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["key", "kind", "doc", "th", "line"])
 
 
 def _earliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(place, earliest place of its key) from rows sorted by key and place."""
+    """(place, earlier place) of the pairs of a key, from rows sorted by key, kind and place."""
     last = head = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, *place = (c.to_numpy() for c in batch.columns)
+        key, kind, *place = (c.to_numpy() for c in batch.columns)
         new = np.empty(len(key), bool)
         new[0] = last is None or key[0] != last
         new[1:] = key[1:] != key[:-1]
         begin = np.flatnonzero(new)
         owner = np.cumsum(new) - 1
-        first = [np.append(c[begin], c.dtype.type(0) if head is None else head[i])[owner] for i, c in enumerate(place)]
-        other = ~new & ((place[0] != first[0]) | (place[1] != first[1]) | (place[2] != first[2]))
-        # a pair that several keys of the batch name is told once
-        cols = np.unique(np.stack([c[other].astype(np.int64) for c in (*place, *first)]), axis=1) if other.any() else np.empty((6, 0), np.int64)
-        arrays = [pa.array(c, pa.int32() if i % 3 == 2 else pa.int64()) for i, c in enumerate(cols)]
+        first = [np.append(c[begin], c.dtype.type(0) if head is None else head[i])[owner] for i, c in enumerate((kind, *place))]
+        ok = ~new & ((kind == HOLE) | (first[0] == WHOLE) & (kind == GONE))
+        rows = np.stack([c[ok].astype(np.int64) for c in (*place, *first[1:])])
+        # the later of the two places first; a pair that several keys of the batch name is told once
+        x, y = rows[:3], rows[3:]
+        less = (x[0] < y[0]) | (x[0] == y[0]) & ((x[1] < y[1]) | (x[1] == y[1]) & (x[2] < y[2]))
+        rows = np.concatenate([np.where(less, y, x), np.where(less, x, y)])[:, (x != y).any(0)]
+        rows = np.unique(rows, axis=1) if rows.shape[1] else rows
+        arrays = [pa.array(c, pa.int32() if i % 3 == 2 else pa.int64()) for i, c in enumerate(rows)]
         yield pa.RecordBatch.from_arrays(arrays, ["doc", "th", "line", "doc2", "th2", "line2"])
         if len(begin):
-            head = [c[begin[-1]] for c in place]
+            head = [c[begin[-1]] for c in (kind, *place)]
         last = key[-1]
 
 
@@ -167,8 +178,8 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     alive = halves.join(shared, "key").groupBy(*place).agg(F.max("p").alias("p"), F.max(~F.col("p")).alias("s"))
     wanted = materialize(alive.groupBy("doc", "th").agg(F.collect_list(F.struct("line", "p", "s")).alias("wanted")), "line-wanted")
     keys = slot_filter(docs, wanted, ["doc", "th"]).join(wanted, ["doc", "th"]).select("doc", "th", "text", "wanted")
-    keys = keys.mapInArrow(_neighbours, "key long, doc long, th long, line int")
-    pairs = keys.repartition("key").sortWithinPartitions("key", *place)
+    keys = keys.mapInArrow(_neighbours, "key long, kind byte, doc long, th long, line int")
+    pairs = keys.repartition("key").sortWithinPartitions("key", "kind", *place)
     pairs = materialize(pairs.mapInArrow(_earliest, "doc long, th long, line int, doc2 long, th2 long, line2 int").distinct(), "line-pairs")
     other = pairs.select(F.col("doc2").alias("doc"), F.col("th2").alias("th"), F.col("line2").alias("line"))
     named = pairs.select(*place).union(other).distinct().groupBy("doc", "th").agg(F.collect_list("line").alias("wanted"))
@@ -188,35 +199,32 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, text: str = "text") -> DataFrame:
-    """``docs`` with ``text`` less its repeated lines, and _n_lines, _n_removed.  Documents without any
-    are not shuffled with the others' lists, as far as hash slots can tell them apart."""
-    columns = docs.columns
-    keyed = docs.withColumns({"_doc": id_col(), "_th": F.xxhash64(text)})
-    plain = keyed.where(F.col(text).isNotNull()).select(F.col("_doc").alias("doc"), F.col("_th").alias("th"), F.col(text).cast("string").alias("text"))
+    """``_row`` (the columns of ``docs`` as a struct, ``text`` less its repeated lines), n_lines, n_removed.
+    Documents without any are not shuffled with the others' lists, as far as hash slots can tell them apart."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    keyed = docs.select(whole, id_col().alias("_doc"), F.xxhash64(text).alias("_th"), F.col(text).cast("string").alias("_text"))
+    plain = keyed.where("_text is not null").select(F.col("_doc").alias("doc"), F.col("_th").alias("th"), F.col("_text").alias("text"))
     gone = repeated_lines(plain, min_chars).select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("gone").alias("_gone"))
     slot = lambda: F.pmod(F.xxhash64("_doc", "_th"), F.lit(SLOTS)).alias("_slot")
     taken = gone.select(slot()).distinct()
     keyed = keyed.withColumn("_slot", slot())
     clean = keyed.join(F.broadcast(taken), "_slot", "left_anti").withColumn("_gone", F.lit(None).cast("array<int>"))
     other = keyed.join(F.broadcast(taken), "_slot", "left_semi").join(gone, ["_doc", "_th"], "left")
-    cols = [*columns, "_gone"]
+    cols = ["_row", "_text", "_gone"]
     both = clean.select(*cols).unionByName(other.select(*cols))
-    pieces = F.split(F.col(text), "\n", -1)
-    kept = F.array_join(F.filter(pieces, lambda _, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    both = both.withColumn("_n_lines", F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"))) + 1).cast("long"))
-    both = both.withColumn("_n_removed", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long"))
-    return both.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept)).drop("_gone")
+    kept = F.array_join(F.filter(F.split("_text", "\n", -1), lambda _, i: ~F.array_contains(F.col("_gone"), i)), "\n")
+    breaks = F.length("_text") - F.length(F.replace(F.col("_text"), F.lit("\n"))) + 1
+    return both.select(
+        F.col("_row").withField(text, F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(kept)).alias("_row"),
+        F.coalesce(breaks, F.lit(0)).cast("long").alias("n_lines"),
+        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"),
+    )
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = dedup_lines(docs)
-    return found.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("_n_lines").alias("n_lines"),
-        F.col("_n_removed").alias("n_removed"),
-        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
-    )
+    found = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce("_row.text", F.lit(""))
+    return found.select(F.col("_row.doc_id").cast("long").alias("doc_id"), "n_lines", "n_removed", F.sha2(text, 256).alias("kept_sha256"))
 
 
 QUERIES = {"op7_line_dedup": op7_line_dedup}
