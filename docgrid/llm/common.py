@@ -113,21 +113,6 @@ def slot_filter(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
 # token arrays
 
 
-class WordHash(dict):
-    """bytes -> 64-bit hash; a cache of bounded size, equal in every process."""
-
-    LIMIT = 300_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def array(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, count=len(words))
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """64-bit finaliser: every input bit reaches every output bit."""
     h = h ^ (h >> np.uint64(30))
@@ -140,6 +125,47 @@ def mix(h: np.ndarray) -> np.ndarray:
 _ODD = mix(np.arange(1, 129, dtype=np.uint64)) | np.uint64(1)
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+STRETCH = 1 << 20
+
+
+def _power(n: int) -> list[np.ndarray]:
+    """_BASE ** i and its inverse modulo 2 ** 64, for i below n at least."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.multiply.accumulate(steps)
+    return _powers
+
+
+def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (runs without ASCII white space) of all texts end to end, and the number of words of
+    each.  A polynomial over the bytes, by running sums, so there is no work per word in Python; sums are
+    taken over stretches of about a megabyte that end between words, so memory doesn't follow the text."""
+    data = np.frombuffer(b"\n".join([*(x or b"" for x in texts), b""]), np.uint8)
+    sizes = np.array([len(x or b"") for x in texts], np.int64)
+    space = _SPACE[data]
+    edge = np.flatnonzero(np.diff(space, prepend=True))
+    start, end = edge[::2], edge[1::2]
+    out = np.empty(len(start), np.uint64)
+    k = 0
+    while k < len(start):
+        stop = max(k + 1, int(np.searchsorted(end, start[k] + STRETCH, side="right")))
+        a, b = start[k], end[stop - 1]
+        power, inverse = _power(int(b - a) + 1)
+        sums = np.empty(b - a + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum((data[a:b].astype(np.uint64) + np.uint64(1)) * power[: b - a], out=sums[1:])
+        out[k:stop] = (sums[end[k:stop] - a] - sums[start[k:stop] - a]) * inverse[start[k:stop] - a]
+        k = stop
+    offsets = np.cumsum(sizes + 1) - (sizes + 1)
+    return mix(out), np.diff(np.searchsorted(start, np.append(offsets, len(data))))
+
+
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of ``n`` consecutive word hashes (empty when there are fewer)."""
     m = len(words) - n + 1
@@ -155,7 +181,7 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``limit`` bytes of text each, so that Python lists of words
     stay small however many rows a batch has.  One long text is one slice: texts are never cut."""
     for batch in batches:

@@ -7,14 +7,18 @@ P - D are equal: with a common order of pieces, the first D + 1 of either side s
 Documents of sizes within a factor of two share a geometry; a document near the upper end of a band
 also joins the band below, so that every pair that could link meets in one.
 
-The order puts rare pieces first (by a counting sketch of all shingles of the corpus, of fixed size),
-so that passages that many documents share seldom become keys.  Any order finds all links.
-
-Steps: sketch every document and collapse equal sets; emit keys; keep the keys that two documents share;
-test candidates by size, by Hamming distance of whole-document sketches, then exactly on the sets;
-contract.  First each document is tested against its most frequent partner only, so a group of
-near copies costs a star and not all its pairs; keys whose documents are in one component need nothing
-more.  The pairs left - in one key, in different components - are all tested.
+Of the order, pieces of many shingles come first: they are rarely shared by chance.  A few more than D + c of
+them become keys, the documents of each key are counted, and each document drops as many of its most
+common keys as it had more (c remain shared).  A key that nobody shares finds nothing, so most documents
+drop out at once, and passages that many documents share are keys only where a document has little else.
+
+Steps: sketch every document and collapse equal sets; emit the pieces as keys and count them; keep each
+document's first keys; pair by key; test candidates by size, by Hamming distance of whole-document sketches,
+then exactly on the sets; contract.  Keys of a few documents give their pairs, of which those remain that
+share as many keys as the order's first D + c pieces must.  In larger keys each document is tested
+against its most frequent partner only, so a group of near copies costs a star and not all its pairs; keys
+whose documents are in one component need nothing more.  The pairs left - in one key, of fitting sizes,
+in different components - are all tested.
 
 Defined cases: null, empty or blank text: empty set, linked with nothing; fewer than five words: the
 whole sequence is the one shingle; rows that share a doc_id share a component; null ids are one node that
@@ -27,168 +31,266 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, binary, chunks, gram_hashes, id_back, id_col, materialize, mix, read, signed, slot_filter
+from .common import SLOTS, binary, chunks, gram_hashes, id_back, id_col, materialize, mix, read, signed, slot_filter, word_hashes
 from .graph import components
 
 WORDS = 5
 #: Link when PERCENT * union <= 100 * intersection.
 PERCENT = 80
-SKETCH_BITS = 2048
-COUNT_SLOTS = 1 << 16
+#: Rows of a key that are held to count them; keys of more documents count as this many.
+LONG = 4096
+#: Documents of a key that are paired outright; larger keys go through their first document.
+FEW = 8
+#: Documents of a key that a task compares with each other, or with as many more.
+BLOCK = 4096
 
 
-def shingle_sets(texts: list[bytes | None], hasher: WordHash, n: int = WORDS) -> Iterator[np.ndarray]:
-    """Sorted distinct shingle hashes of each text."""
-    lists = [(x or b"").lower().split() for x in texts]
-    flat = hasher.array([w for x in lists for w in x])
+def shingle_sets(texts: list[bytes | None], n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each text, sorted, end to end; and the sizes of the sets."""
+    flat, sizes = word_hashes([x and x.lower() for x in texts])  # of bytes: A-Z only
     grams = gram_hashes(flat, n)
+    starts = np.cumsum(sizes) - sizes
+    many = np.where(sizes >= n, sizes - n + 1, np.minimum(sizes, 1))
+    out = np.empty(int(many.sum()), np.uint64)
     at = 0
-    for words in lists:
-        k = len(words)
-        if k >= n:
-            yield np.unique(grams[at : at + k - n + 1])
+    for start, size, k in zip(starts.tolist(), sizes.tolist(), many.tolist(), strict=True):
+        if size >= n:
+            out[at : at + k] = grams[start : start + k]
+            out[at : at + k].sort()
         elif k:
-            yield gram_hashes(flat[at : at + k], k) ^ np.uint64(k)
-        else:
-            yield np.empty(0, np.uint64)
+            out[at] = gram_hashes(flat[start : start + size], size)[0] ^ np.uint64(size)
         at += k
+    first = np.cumsum(many) - many
+    new = np.empty(len(out), bool)
+    new[1:] = out[1:] != out[:-1]
+    new[first[many > 0]] = True
+    kept = np.concatenate([[0], np.cumsum(new)])
+    return out[new], kept[first + many] - kept[first]
+
+
+def per_set(own: np.ndarray, sizes: np.ndarray, f: np.ufunc) -> np.ndarray:
+    """f reduced over each set; 0 for an empty one."""
+    out = np.zeros(len(sizes), np.uint64)
+    if len(own):
+        out[sizes > 0] = f.reduceat(own, (np.cumsum(sizes) - sizes)[sizes > 0])
+    return out
+
 
+def sketch_bits(n: int) -> int:
+    """Two to four bits a shingle; powers of two, so that a sketch folds to half its size by exclusive or."""
+    return 1 << min(max((n - 1).bit_length() + 1, 6), 17)
 
-def profile(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """doc, n, two set hashes and a whole-set parity sketch of every document; and how many documents
-    have a shingle in each of COUNT_SLOTS hash slots."""
+
+def distance(x: bytes, y: bytes) -> int:
+    """Bits in which two sketches differ, the longer one folded to the size of the other."""
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        half = len(x) // 2
+        x = (int.from_bytes(x[:half]) ^ int.from_bytes(x[half:])).to_bytes(half)
+    return (int.from_bytes(x) ^ int.from_bytes(y)).bit_count()
+
+
+def profile(docs: DataFrame) -> DataFrame:
+    """doc, n, two set hashes and a whole-set parity sketch of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, counts = WordHash(), np.zeros(COUNT_SLOTS, np.int64)
-        names = ["doc", "n", "h1", "h2", "sketch", "counts"]
-        kind = pa.list_(pa.int64())
         for part in chunks(batches, "text"):
-            rows = []
-            for own in shingle_sets(binary(part, "text"), hasher):
-                bits = np.bincount((own >> np.uint64(40)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
-                counts += np.bincount((own & np.uint64(COUNT_SLOTS - 1)).astype(np.int64), minlength=COUNT_SLOTS) if len(own) > COUNT_SLOTS else 0
-                if len(own) <= COUNT_SLOTS:
-                    np.add.at(counts, (own & np.uint64(COUNT_SLOTS - 1)).astype(np.int64), 1)
-                h1 = np.bitwise_xor.reduce(own) if len(own) else np.uint64(0)
-                h2 = mix(own + np.uint64(1)).sum(dtype=np.uint64)
-                rows.append((len(own), int(h1.view(np.int64)), int(np.uint64(h2).view(np.int64)), np.packbits(bits.astype(np.uint8)).tobytes()))
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            arrays = [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), *arrays, pa.nulls(part.num_rows, kind)], names)
-        last = [pa.array([None], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
-        yield pa.RecordBatch.from_arrays([*last, pa.array([counts.tolist()], kind)], names)
-
-    rows = materialize(docs.mapInArrow(run, "doc long, n long, h1 long, h2 long, sketch binary, counts array<long>"), "ngram-profile")
-    slots = rows.where("counts is not null").select(F.posexplode("counts").alias("slot", "k")).groupBy("slot").agg(F.sum("k").alias("k"))
-    total = np.zeros(COUNT_SLOTS, np.int64)
-    found = slots.toPandas()  # COUNT_SLOTS rows
-    total[found["slot"].to_numpy()] = found["k"].to_numpy()
-    return rows.where("counts is null").drop("counts"), total
+            own, sizes = shingle_sets(binary(part, "text"))
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            bits = np.array([sketch_bits(n) for n in sizes.tolist()], np.int64)
+            ends = np.cumsum(bits)
+            spot = (ends - bits)[row] + (own >> np.uint64(40)).astype(np.int64) % bits[row]
+            flat = np.packbits((np.bincount(spot, minlength=int(bits.sum())) & 1).astype(np.uint8)).tobytes()
+            sketch = [flat[(e - b) // 8 : e // 8] for b, e in zip(bits.tolist(), ends.tolist(), strict=True)]
+            h1, h2 = per_set(own, sizes, np.bitwise_xor), per_set(mix(own + np.uint64(1)), sizes, np.add)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(signed(h1)), pa.array(signed(h2)), pa.array(sketch, pa.binary())], ["doc", "n", "h1", "h2", "sketch"])
+
+    return materialize(docs.mapInArrow(run, "doc long, n long, h1 long, h2 long, sketch binary"), "ngram-profile")
+
+
+def overlap(band: int) -> int:
+    """Keys of small groups that a pair has to share in a band: when both sides emit the first D + c of their
+    pieces, they share c."""
+    return (1, 1, 1, 1, 2, 2, 3, 4, 6, 8)[min(band, 9)]
 
 
 def geometry(n: int) -> list[tuple[int, int, int]]:
-    """Bands of a set of n: (band, pieces, pieces that may differ)."""
+    """Bands of a set of n: (band, pieces, keys that count: pieces that may differ + overlap)."""
     out = []
     for band in range(max(0, n.bit_length() - 2), n.bit_length()):
         top = (2 << band) - 1  # the largest size of a pair's smaller set in this band
         if n <= top + top // 4:
             # pieces of about three shingles; single shingles where sets are small, so that none is empty
-            pieces = 1024 if top < 32 else (top + 1) // 3 + 1
-            out.append((band, pieces, min(n // 4, (top + n) // 9)))
+            pieces = 1024 if top < 32 else (top + 1) // 3 + 16
+            out.append((band, pieces, min(n // 4, (top + n) // 9) + overlap(band)))
     return out
 
 
-def rarity(counts: np.ndarray) -> np.ndarray:
-    """Class of each slot: 0 for up to about the mean, then four a doubling."""
-    mean = max(1.0, counts.mean())
-    return np.floor(4 * np.log2(np.maximum(1.0, counts / mean))).astype(np.uint64)
-
-
-def sketch_keys(own: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """The keys of a set: for each of its bands, a hash of the D + 1 first pieces in the common order."""
-    out = []
-    rank_of = classes[(own & np.uint64(COUNT_SLOTS - 1)).astype(np.int64)]
-    for band, pieces, differ in geometry(len(own)):
-        piece = ((own >> np.uint64(24)) % np.uint64(pieces)).astype(np.int64)
-        order = np.argsort(piece, kind="stable")
-        p = piece[order]
-        starts = np.flatnonzero(np.diff(p, prepend=-1))
-        parity = np.bitwise_xor.reduceat(np.left_shift(np.uint64(1), own[order] & np.uint64(63)), starts)
-        rare = np.minimum.reduceat(rank_of[order], starts)
-        many = np.minimum(np.diff(np.append(starts, len(p))), 63).astype(np.uint64)
-        key = mix(parity * np.uint64(0x9E3779B97F4A7C15) + p[starts].astype(np.uint64) * np.uint64(64) + np.uint64(band))
-        place = (rare << np.uint64(48)) | ((np.uint64(63) - many) << np.uint64(40)) | (key >> np.uint64(24))
-        need = differ + 1
-        if need < len(key):
-            key = key[np.argpartition(place, need - 1)[:need]]
-        elif need > len(key):  # empty pieces come last; equal ones count too
-            empty = np.setdiff1d(np.arange(pieces), p[starts])[: need - len(key)].astype(np.uint64)
-            key = np.concatenate([key, mix(empty * np.uint64(64) + np.uint64(band))])
-        out.append(key)
-    return np.concatenate(out)
-
-
-def emit_keys(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(key, doc) of every document whose set the task hasn't met before: copies of a set are one class."""
-    classes = rarity(counts)
+def sketch_keys(own: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of each set - for each of its bands a hash of its first pieces: those of the most shingles, some
+    more than count - with the set that each key is of, its band, and how many more they are."""
+    first = np.cumsum(sizes) - sizes
+    sets = [(i, *g) for i, n in enumerate(sizes.tolist()) if n for g in geometry(n)]
+    if not sets:
+        return np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3
+    row, band, pieces, need = (np.array(x, np.int64) for x in zip(*sets, strict=True))
+    many = sizes[row]
+    end = np.cumsum(many)
+    of = np.repeat(np.arange(len(row)), many)  # set and band of each element
+    h = own[np.arange(end[-1]) - np.repeat(end - many, many) + np.repeat(first[row], many)]
+    base = np.cumsum(pieces) - pieces
+    spot = base[of] + ((h >> np.uint64(24)) % pieces[of].astype(np.uint64)).astype(np.int64)
+    order = np.argsort(spot)
+    spot, h = spot[order], h[order]
+    starts = np.flatnonzero(np.diff(spot, prepend=-1))
+    parity = np.bitwise_xor.reduceat(np.left_shift(np.uint64(1), h & np.uint64(63)), starts)
+    spot = spot[starts]
+    of = np.searchsorted(base, spot, side="right") - 1
+    key = mix(parity * np.uint64(0x9E3779B97F4A7C15) + (spot - base[of]).astype(np.uint64) * np.uint64(64) + band[of].astype(np.uint64))
+    # a function of the piece's shingles alone: as many as can be, then by hash
+    held = np.minimum(np.diff(np.append(starts, len(h))), 255).astype(np.uint64)
+    order = np.lexsort([(np.uint64(255) - held) << np.uint64(56) | (key >> np.uint64(8)), of])
+    have = np.bincount(of, minlength=len(row))
+    rank = np.arange(len(of)) - np.repeat(np.cumsum(have) - have, have)
+    spare = np.maximum(need // 16, 2)
+    chosen = order[rank < (need + spare)[of]]
+    key, of, spot = key[chosen], of[chosen], spot[chosen]
+    have = np.minimum(have, need + spare)
+    for k in np.flatnonzero(have < need):  # equal empty pieces count too
+        empty = np.setdiff1d(np.arange(pieces[k]), spot[of[: len(spot)] == k] - base[k])[: need[k] - have[k]]
+        key = np.concatenate([key, mix(empty.astype(np.uint64) * np.uint64(64) + np.uint64(band[k]))])
+        of = np.concatenate([of, np.full(len(empty), k)])
+    have = np.maximum(have, need)
+    return key, row[of], band[of], (have - need)[of]
+
+
+def representatives(docs: DataFrame, base: DataFrame) -> DataFrame:
+    """``docs`` without those whose set is another one's too.  Only documents in the hash slots of such
+    copies have to meet the list of them."""
+    copies = base.where("n > 0 and doc <> rep").select("doc").distinct()
+    slot = F.pmod(F.xxhash64("doc"), F.lit(SLOTS)).alias("_slot")
+    taken, rows = copies.select(slot).distinct(), docs.withColumn("_slot", slot)
+    other = rows.join(F.broadcast(taken), "_slot", "left_semi").join(copies, "doc", "left_anti")
+    return rows.join(F.broadcast(taken), "_slot", "left_anti").select("doc", "text").unionAll(other.select("doc", "text"))
+
+
+def emit_keys(docs: DataFrame) -> DataFrame:
+    """(key, doc, n, band, spare) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, met = WordHash(), set()
         for part in chunks(batches, "text"):
-            keys, docs_, many = [], part.column(0).to_numpy(zero_copy_only=False), np.zeros(part.num_rows, np.int64)
-            for i, own in enumerate(shingle_sets(binary(part, "text"), hasher)):
-                if not len(own):
-                    continue
-                mark = (len(own), int(np.bitwise_xor.reduce(own)))
-                if mark in met:
-                    continue
-                if len(met) >= 200_000:
-                    met.clear()
-                met.add(mark)
-                keys.append(sketch_keys(own, classes))
-                many[i] = len(keys[-1])
-            flat = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(flat)), pa.array(np.repeat(docs_, many), pa.int64())], ["key", "doc"])
-
-    return docs.mapInArrow(run, "key long, doc long")
+            own, sizes = shingle_sets(binary(part, "text"))
+            key, row, band, spare = sketch_keys(own, sizes)
+            doc = part.column(0).to_numpy(zero_copy_only=False)
+            about = sizes[row] | spare << 32 | band << 58  # one number in the shuffle
+            yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(doc[row], pa.int64()), pa.array(about)], ["key", "doc", "about"])
+
+    return docs.mapInArrow(run, "key long, doc long, about long")
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """The (key, doc) of keys that two documents have, with the first document of the key.  Runs of a
-    key are found in a stream sorted by Spark; a run of any length passes in bounded memory."""
+    """The keys that two documents have, with the number of documents: (key, doc, about, size).  A stream sorted by
+    Spark; of a longer run than LONG, at most LONG rows are held, and LONG stands for its length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64)] * 3
+        long = None
+
+        def told(cols: list[np.ndarray], size: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.array(size)], ["key", "doc", "about", "size"])
+
+        for batch in batches:
+            cols = [c.to_numpy() for c in batch.columns]
+            if long is not None:
+                k = int(np.searchsorted(cols[0], long, side="right"))
+                yield told([c[:k] for c in cols], np.full(k, LONG))
+                cols = [c[k:] for c in cols]
+            if not len(cols[0]):
+                continue
+            long = None
+            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            begin = np.flatnonzero(np.append(True, cols[0][1:] != cols[0][:-1]))
+            many = np.diff(np.append(begin, len(cols[0])))
+            size = np.repeat(np.minimum(many, LONG), many)
+            if many[-1] >= LONG:
+                long, held = cols[0][-1], [c[:0] for c in cols]
+            else:
+                held = [c[begin[-1] :] for c in cols]
+                size[begin[-1] :] = 0
+            keep = size > 1
+            yield told([c[keep] for c in cols], size[keep])
+        keep = np.full(len(held[0]), len(held[0]) > 1)
+        yield told([c[keep] for c in held], np.full(int(keep.sum()), len(held[0])))
+
+    return keys.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(run, "key long, doc long, about long, size long")
+
+
+def rare_keys(shared: DataFrame) -> DataFrame:
+    """Each document without its most common keys: as many as it emitted more than D + c."""
+    spare = F.shiftright("about", 32).bitwiseAND((1 << 26) - 1)
+    # if fewer than the spare ones are shared at all, nothing is left
+    rank = F.row_number().over(Window.partitionBy("doc", "about").orderBy(F.col("size").desc(), F.col("key").desc()))
+    return shared.withColumn("_rank", rank).where(F.col("_rank") > spare).select("key", "doc", F.col("about").bitwiseAND((1 << 32) - 1).alias("n"))
+
+
+def candidates(keys: DataFrame) -> DataFrame:
+    """Pairs (a, b; key null) of documents of fitting sizes that share ``shared`` keys of at most FEW
+    documents, out of ``need`` that a link takes; and for keys of more documents, each with the key's
+    first: (key, a, b).  Runs are found in a stream sorted by Spark; a run of any length passes in bounded memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, first, told = None, None, True
+        held = [np.empty(0, np.int64)] * 3  # the last run, while it is short
+        long: tuple[int, int] | None = None  # key and first document of a run that isn't
+        # by size: overlap in the lowest band that a set of that size is in
+        least = np.array([1] + [overlap(geometry(n)[0][0]) for n in range(1, 2048)], np.int64)
+
+        def told(key: np.ndarray | None, a: np.ndarray, b: np.ndarray, *counts: np.ndarray) -> pa.RecordBatch:
+            none = pa.nulls(len(a), pa.int64())
+            rest = [pa.array(x) for x in counts] or [none, none]
+            return pa.RecordBatch.from_arrays([none if key is None else pa.array(key), pa.array(a), pa.array(b), *rest], ["key", "a", "b", "shared", "need"])
+
+        def pairs(key: np.ndarray, doc: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            found = [np.empty((3, 0), np.int64)]
+            for step in range(1, FEW):
+                ok = (key[step:] == key[:-step]) & (doc[step:] != doc[:-step])
+                x, y = n[step:], n[:-step]
+                ok &= np.minimum(x, y) * 100 >= np.maximum(x, y) * PERCENT
+                if ok.any():
+                    found.append(np.stack([doc[:-step][ok], doc[step:][ok], least[np.minimum(np.maximum(x, y)[ok], 2047)]]))
+            (a, b, need), shared = np.unique(np.concatenate(found, axis=1), axis=1, return_counts=True)
+            return told(None, a, b, shared, need)
+
         for batch in batches:
-            if not batch.num_rows:
+            cols = [c.to_numpy() for c in batch.columns]
+            if long is not None:
+                k = int(np.searchsorted(cols[0], long[0], side="right"))
+                yield told(cols[0][:k], cols[1][:k], np.full(k, long[1]))
+                cols = [c[k:] for c in cols]
+            if not len(cols[0]):
                 continue
-            key, doc = (batch.column(i).to_numpy() for i in range(2))
-            new = np.empty(len(key), bool)
-            new[0] = last is None or key[0] != last
-            new[1:] = key[1:] != key[:-1]
-            begin = np.flatnonzero(new)
-            owner = np.cumsum(new) - 1  # -1: of the run that began in an earlier batch
-            heads = np.append(doc[begin], 0 if first is None else first)
-            first_of = heads[owner]
-            many = np.bincount(owner + 1, minlength=len(begin) + 1)
-            other = doc != first_of
-            lively = np.bincount(owner + 1, weights=other, minlength=len(begin) + 1) > 0
-            keep = lively[owner + 1] & (other | new)
-            k, d, f = key[keep], doc[keep], first_of[keep]
-            if lively[0] and not told:  # the head of the earlier run hasn't been told yet
-                k, d, f = np.append(k, last), np.append(d, first), np.append(f, first)
-                told = True
-            if len(begin):
-                told = bool(lively[-1])
-                first = heads[len(begin) - 1]
-            del many
-            last = key[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(d), pa.array(f)], ["key", "doc", "first"])
-
-    return keys.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(run, "key long, doc long, first long")
+            long = None
+            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            key, doc, n = cols
+            begin = np.flatnonzero(np.diff(key, prepend=key[0] - 1) != 0)
+            size = np.diff(np.append(begin, len(key)))
+            last = begin[-1]
+            big = np.repeat(size > FEW, size)
+            if big.any():
+                first = np.repeat(doc[begin], size)
+                yield told(key[big], doc[big], first[big])
+            if size[-1] > FEW:
+                long, held = (key[-1], doc[last]), [c[:0] for c in cols]
+            else:
+                held = [c[last:] for c in cols]
+                big[last:] = True  # not complete yet
+            yield pairs(key[~big], doc[~big], n[~big])
+        yield pairs(*held)
+
+    return keys.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(run, "key long, a long, b long, shared long, need long")
 
 
 def near_enough(pairs: DataFrame, base: DataFrame) -> DataFrame:
@@ -199,11 +301,9 @@ def near_enough(pairs: DataFrame, base: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (3, 4))
-                far = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-                keep = pa.array(far * (200 - (100 - PERCENT)) <= batch.column(2).to_numpy() * (100 - PERCENT))
-                yield batch.select(["a", "b"]).filter(keep)
+            n, x, y = (batch.column(i).to_pylist() for i in (2, 3, 4))
+            keep = [distance(x[i], y[i]) * (100 + PERCENT) <= n[i] * (100 - PERCENT) for i in range(len(n))]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long").distinct()
 
@@ -213,9 +313,10 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     ids = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHash()
         for part in chunks(batches, "text"):
-            found = [x.tobytes() for x in shingle_sets(binary(part, "text"), hasher)]
+            own, sizes = shingle_sets(binary(part, "text"))
+            ends = np.cumsum(sizes)
+            found = [own[a:b].tobytes() for a, b in zip(ends - sizes, ends, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["doc", "own"])
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,51 +340,128 @@ def best_partner(pairs: DataFrame) -> DataFrame:
     return counted.groupBy("b").agg(F.max(F.struct("_n", -F.col("a"))).alias("_m")).select((-F.col("_m.col2")).alias("a"), "b")
 
 
+def rest_pairs(mixed: DataFrame, few: DataFrame, base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What may link through ``mixed``: the large keys (key, doc, comp) that hold several components.
+    A pair has to share ``need`` keys.  Either some of them are small - then it is in ``few`` - and its
+    two documents must have enough large ones for the rest: these pairs come first.  Or all are large, and then
+    it shares one that isn't among the need - 1 most common of either document: these (key, doc, comp, n)
+    come second."""
+    tops = sorted({n for k in range(1, 12) for n in ((1 << k) - 1, ((1 << k) - 1) * 5 // 4)})
+    lowest = F.expr("case " + " ".join(f"when n <= {top} then {overlap(geometry(top)[0][0])}" for top in tops) + f" else {overlap(99)} end")
+    counts = mixed.groupBy("key").agg(F.count("*").alias("size"))
+    rows = mixed.select("key", "doc", "comp").join(counts, "key").join(base.select("doc", "n", lowest.alias("need")), "doc")
+    by_doc = Window.partitionBy("doc")
+    rows = rows.withColumn("have", F.count("*").over(by_doc)).withColumn("rank", F.row_number().over(by_doc.orderBy("size", "key")))
+    rows = materialize(rows, "ngram-rest")
+    have = rows.select("doc", "have", "comp").distinct()
+    a, b = (have.select(F.col("doc").alias(x), F.col("have").alias(f"h_{x}"), F.col("comp").alias(f"c_{x}")) for x in "ab")
+    through = few.where("shared < need").join(a, "a").join(b, "b").where("c_a <> c_b and least(h_a, h_b) + shared >= need").select("a", "b")
+    return through, rows.where("rank <= have - need + 1").select("key", "doc", "comp", "n")
+
+
+def near_within(rows: DataFrame, base: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of one key and different components that pass the bounds on size and sketches.  They are
+    compared inside the task and only those that pass leave it.  A key of more than ``block`` documents is dealt as
+    pairs of its blocks, so a task never holds more than two."""
+    order = Window.partitionBy("key").orderBy("doc")
+    rows = rows.withColumn("at", F.expr(f"(row_number() over (partition by key order by doc) - 1) div {block}")).withColumn("last", F.max("at").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    rows = rows.join(base.select("doc", "sketch"), "doc").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
+    rows = rows.select(F.xxhash64("key", F.least("at", "other"), F.greatest("at", "other")).alias("cell"), "key", F.least("at", "other").alias("x"), F.greatest("at", "other").alias("y"), "doc", "comp", "n", "sketch")
+
+    def compare(doc: np.ndarray, comp: np.ndarray, n: np.ndarray, sketch: list[bytes]) -> list[np.ndarray]:
+        size, folded = min(map(len, sketch)), []
+        for x in sketch:
+            bits = np.frombuffer(x, np.uint64)
+            while len(bits) * 8 > size:
+                bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+            folded.append(bits)
+        bits, found = np.stack(folded), []
+        order = np.argsort(n, kind="stable")
+        doc, comp, n, bits = doc[order], comp[order], n[order], bits[order]
+        stop = np.searchsorted(n * PERCENT, n * 100, side="right")  # sizes that fit
+        for i in range(len(n) - 1):
+            j = slice(i + 1, stop[i])
+            far = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
+            ok = np.flatnonzero((far * (100 + PERCENT) <= (n[j] + n[i]) * (100 - PERCENT)) & (comp[j] != comp[i])) + i + 1
+            found += [np.stack([np.full(len(ok), doc[i]), doc[ok]])] if len(ok) else []
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        found: list[np.ndarray] = []
+
+        def close() -> None:
+            if len(held) > 1:
+                _, doc, comp, n, sketch = zip(*held, strict=True)
+                found.extend(compare(np.array(doc), np.array(comp), np.array(n), list(sketch)))
+            held.clear()
+
+        for batch in batches:
+            for key, x, y, doc, comp, n, sketch in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                if held and held[0][0] != (key, x, y):
+                    close()
+                held.append(((key, x, y), doc, comp, n, sketch))
+            if found:
+                both = np.unique(np.concatenate(found, axis=1), axis=1)
+                found.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(both.min(0)), pa.array(both.max(0))], ["a", "b"])
+        close()
+        both = np.concatenate([np.empty((2, 0), np.int64), *found], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(both.min(0)), pa.array(both.max(0))], ["a", "b"])
+
+    dealt = rows.repartition("cell").sortWithinPartitions("cell", "key", "x", "y")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc (null ids stand last), n_shingles, component_id: one row per row of ``docs``."""
     docs = docs.select(id_col().alias("doc"), F.col("text").cast("string").alias("text"))
-    profiles, counts = profile(docs)
-    classes = profiles.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc").alias("rep"))
-    base = materialize(profiles.join(classes, ["h1", "h2", "n"], "left").select("doc", "n", "rep", "sketch"), "ngram-base")
+    profiles = profile(docs)
+    groups = profiles.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc").alias("rep"))
+    base = materialize(profiles.join(groups, ["h1", "h2", "n"], "left").select("doc", "n", "rep", "sketch"), "ngram-base")
     reps = base.where("n > 0").select("doc", "rep")
-    shared = materialize(shared_keys(emit_keys(docs, counts)), "ngram-keys")
     of = base.where("doc = rep")
+    found = materialize(candidates(rare_keys(shared_keys(emit_keys(representatives(docs, base))))), "ngram-candidates")
+    shared = found.where("key is not null").select("key", F.col("a").alias("doc"), F.col("b").alias("first"))
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    def link(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Pairs of class representatives: those tested, those that link."""
-        pairs = materialize(pairs, "ngram-pairs")
-        return pairs, materialize(verified(materialize(near_enough(pairs, of), "ngram-near"), docs), "ngram-links")
+    def near(pairs: DataFrame) -> DataFrame:
+        return materialize(near_enough(materialize(ordered(pairs), "ngram-pairs"), of), "ngram-near")
 
-    # every document against its most frequent partner
+    def exact(pairs: DataFrame) -> DataFrame:
+        return materialize(verified(pairs, docs), "ngram-links")
+
+    few = found.where("key is null").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need"))
+    few = materialize(few, "ngram-few")
+    # in large keys every document against its most frequent first one
     star = best_partner(shared.where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b")))
-    to_a, to_b = reps.select(F.col("doc").alias("a"), F.col("rep").alias("ra")), reps.select(F.col("doc").alias("b"), F.col("rep").alias("rb"))
-    star = star.join(to_a, "a").join(to_b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-    tested, links = link(star)
-    classed = reps.where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
-    for rest in (False, False, True):
-        labels = components(links.unionAll(classed))
+    pairs = few.where("shared >= need").select("a", "b").union(star.select("a", "b"))
+    tested = near(pairs)
+    links = exact(tested)
+    copies = reps.where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
+    for rest in (False, True, None):
+        labels = components(links.unionAll(copies))
         comp = materialize(reps.join(labels, reps["rep"] == labels["node"], "left").select("doc", "rep", F.coalesce("component", "rep").alias("comp")), "ngram-comp")
-        shared = shared.select("key", "doc").join(comp, "doc").select("key", "rep", "comp", F.col("rep").alias("doc")).distinct()
+        if rest is None:
+            break
+        shared = shared.select("key", "doc").join(comp, "doc").select("key", "doc", "comp")
         mixed = shared.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
         shared = materialize(shared.join(mixed, "key").select("key", "doc", "comp", "low"), "ngram-mixed")
         if shared.isEmpty():
             break
         if rest:
-            x = shared.select("key", F.col("doc").alias("a"), F.col("comp").alias("ca"))
-            y = shared.select("key", F.col("doc").alias("b"), F.col("comp").alias("cb"))
-            pairs = x.join(y, "key").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            through, rows = rest_pairs(shared, few, of)
+            pairs = near(through).union(near_within(rows, of))
         else:
             # against a document of the key's smallest component
             heads = shared.where("comp = low").groupBy("key").agg(F.min("doc").alias("a"))
-            pairs = best_partner(shared.where("comp <> low").join(heads, "key").select("a", F.col("doc").alias("b")))
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        now, new = link(pairs.join(tested, ["a", "b"], "left_anti"))
-        tested, links = tested.unionAll(now), links.unionAll(new)
-    else:
-        labels = components(links.unionAll(classed))
-        comp = reps.join(labels, reps["rep"] == labels["node"], "left").select("doc", F.coalesce("component", "rep").alias("comp"))
-    found = comp.groupBy("doc").agg(F.min("comp").alias("comp"))
-    return base.join(found, "doc", "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc").alias("component_id"))
+            pairs = near(best_partner(shared.where("comp <> low").join(heads, "key").select("a", F.col("doc").alias("b"))))
+        now = materialize(ordered(pairs).join(tested, ["a", "b"], "left_anti"), "ngram-untested")
+        tested, links = tested.unionAll(now), links.unionAll(exact(now))
+    least = comp.groupBy("doc").agg(F.min("comp").alias("comp"))
+    return base.join(least, "doc", "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc").alias("component_id"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, binary, chunks, gram_hashes, id_back, id_col, materialize, read, signed, slot_filter
+from .common import binary, chunks, gram_hashes, id_back, id_col, materialize, read, signed, slot_filter, word_hashes
 
 WINDOW = 50
 PREFIX = 16
@@ -74,18 +74,16 @@ def digest128(data: bytes) -> tuple[int, int]:
 
 def _profile(window: int, prefix: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHash()
-        for part in chunks(batches, "text", 2 << 20):
-            lists = [(x or b"").split() for x in binary(part, "text")]
-            sizes = np.array([len(x) for x in lists], np.int64)
+        for part in chunks(batches, "text"):
+            texts = binary(part, "text")
+            flat, sizes = word_hashes(texts)
             ends = np.cumsum(sizes)
-            flat = hasher.array([w for x in lists for w in x])
             at, keys = anchors(flat, np.repeat(ends, sizes), window, prefix)
             doc = np.searchsorted(ends, at, side="right")
-            offsets = np.searchsorted(doc, np.arange(len(lists) + 1)).astype(np.int32)
+            offsets = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
             place = (at - (ends - sizes)[doc]).astype(np.int32)
             spans = pa.StructArray.from_arrays([pa.array(signed(keys)), pa.array(place)], ["key", "pos"])
-            whole = [b" ".join(x) for x in lists]
+            whole = [b" ".join((x or b"").split()) for x in texts]
             marks = list(zip(*map(digest128, whole), strict=True)) or [(), ()]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(sizes), pa.array(marks[0], pa.int64()), pa.array(marks[1], pa.int64()),

@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 
 from docgrid.llm import line_dedup, ngram_join, substring_dedup
-from docgrid.llm.common import LAST_ID, WordHash
+from docgrid.llm import common
+from docgrid.llm.common import LAST_ID
 from docgrid.llm.graph import components
 
 from .corpus import LOWER, documents, frame, words
@@ -125,11 +126,22 @@ def test_substrings_empty(spark):
 
 
 def test_every_window_has_an_anchor():
-    words_ = WordHash().array([str(i * i % 37).encode() for i in range(500)])
+    words_, _ = common.word_hashes([" ".join(str(i * i % 37) for i in range(500)).encode()])
     at, _ = substring_dedup.anchors(words_, np.full(500, 500), 50, 16)
     assert all(((at >= i) & (at <= i + 34)).any() for i in range(451))
 
 
+def test_word_hashes(monkeypatch):
+    texts = ["a  b", None, "", " \t", "é\x85x y\n\x0bz a", "long" * 50 + " w" * 90, "b"]
+    for stretch in (1 << 20, 7):
+        monkeypatch.setattr(common, "STRETCH", stretch)
+        got, sizes = common.word_hashes([t and t.encode() for t in texts])
+        lists = [BLANK.findall(t or "") for t in texts]
+        flat = [w for x in lists for w in x]
+        assert sizes.tolist() == [len(x) for x in lists]
+        assert len(set(zip(flat, got.tolist(), strict=True))) == len(set(flat)) == len(set(got.tolist()))
+
+
 def edit_distance(x, y):
     row = list(range(len(y) + 1))
     for i, c in enumerate(x, 1):
