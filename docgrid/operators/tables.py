@@ -10,7 +10,6 @@ from ..functions.let import let, let_all
 from ..functions.numeric import extract_numeric, strip
 from ..functions.vocabulary import FINANCE_WORDS, GROWTH_WORDS, LABEL_PREFIX, PLAIN_AMOUNT, TABLE_WORDS
 
-E_INT = F.lit(0)
 
 
 def numeric_grid(grid: Column, mode: str = "as_coded") -> Column:
@@ -44,7 +43,7 @@ def header_rows(grid: Column, num: Column) -> Column:
         return let_all(lambda f, k: kind(f, k), f=filled, k=numbers)
 
     def led(states: Column, lead: Column) -> Column:
-        rest = F.slice(states, lead + 1, F.greatest(F.size(states) - lead, E_INT))
+        rest = F.slice(states, lead + 1, F.greatest(F.size(states) - lead, F.lit(0)))
         stop = F.array_position(F.transform(rest, lambda s: s != "head"), True)
         return let(F.when(stop == 0, F.size(rest)).otherwise(stop - 1).cast("int"), lambda n: F.struct(lead.alias("lead"), n.alias("n")))
 
@@ -56,7 +55,7 @@ def split_headers(df: DataFrame, grid: str = "grid", num: str = "num") -> DataFr
     g, size = F.col(grid), F.size(grid)
     df = df.withColumn("_h", header_rows(F.col(grid), F.col(num)))
     n = F.col("_h.n")
-    tail = lambda x, k: F.slice(x, k + 1, F.greatest(size - k, E_INT))
+    tail = lambda x, k: F.slice(x, k + 1, F.greatest(size - k, F.lit(0)))
     # no header: the first row is one; nothing but headers: the first is one, the rest is data
     many = (n > 1) & (size - n <= 0)
     heads = F.when(n == 0, F.slice(g, 1, 1)).when(many, F.slice(g, F.col("_h.lead") + 1, F.lit(1))).otherwise(F.slice(g, F.col("_h.lead") + 1, n))
@@ -66,15 +65,15 @@ def split_headers(df: DataFrame, grid: str = "grid", num: str = "num") -> DataFr
 
 def last_numeric_col(nums: Column) -> Column:
     """The rightmost column with numbers in 30 % of the rows at least; null if there is none."""
-    columns = F.sequence(E_INT, F.greatest(width(nums) - 1, E_INT))
-    enough = F.filter(columns, lambda c: (_count(nums, lambda r: F.get(r, c)["value"].isNotNull()) >= F.size(nums) * F.lit(0.3)) & (c < width(nums)))
-    return F.when(F.size(nums) > 0, F.array_max(enough))
+    has = F.transform(nums, lambda r: F.transform(r, lambda c: c["value"].isNotNull()))
+    enough = lambda h: F.filter(F.sequence(F.lit(0), F.greatest(width(h) - 1, F.lit(0))), lambda c: _count(h, lambda r: F.get(r, c)) >= F.greatest(F.size(h) * F.lit(0.3), F.lit(0.5)))
+    return let(has, lambda h: F.array_max(enough(h)))
 
 
 def summable(rows: Column, nums: Column) -> Column:
     """More than half of the filled first cells are no numbers."""
     firsts = F.zip_with(rows, nums, lambda r, n: F.struct((strip(F.get(r, F.lit(0))) != "").alias("filled"), F.get(n, F.lit(0))["value"].alias("v")))
-    share = lambda x: _count(x, lambda c: c["v"].isNull()) / F.nullif(F.size(x), E_INT)
+    share = lambda x: _count(x, lambda c: c["v"].isNull()) / F.nullif(F.size(x), F.lit(0))
     return F.coalesce(let(F.filter(firsts, lambda x: x["filled"]), share) > 0.5, F.lit(False))
 
 
@@ -121,10 +120,10 @@ def anomaly_flags(nums: Column) -> Column:
     cells = F.flatten(F.transform(nums, lambda r, i: F.transform(r, lambda c, j: F.struct(i.alias("row"), j.alias("col"), F.when(~c["is_percentage"], c["value"]).alias("value")))))
 
     def with_mean(cells: Column) -> Column:
-        return let_all(with_spread, cells=cells, mean=_sum(F.transform(cells, lambda c: c["value"])) / F.nullif(F.size(cells), E_INT))
+        return let_all(with_spread, cells=cells, mean=_sum(F.transform(cells, lambda c: c["value"])) / F.nullif(F.size(cells), F.lit(0)))
 
     def with_spread(cells: Column, mean: Column) -> Column:
-        std = F.sqrt(_sum(F.transform(cells, lambda c: (c["value"] - mean) * (c["value"] - mean))) / F.nullif(F.size(cells), E_INT))
+        std = F.sqrt(_sum(F.transform(cells, lambda c: (c["value"] - mean) * (c["value"] - mean))) / F.nullif(F.size(cells), F.lit(0)))
         return let_all(flags, cells=cells, mean=mean, std=F.nullif(std, F.lit(0.0)), pos=_count(cells, lambda c: c["value"] > 0), neg=_count(cells, lambda c: c["value"] < 0))
 
     def flags(cells: Column, mean: Column, std: Column, pos: Column, neg: Column) -> Column:
@@ -208,9 +207,9 @@ def verification_summary(tables: DataFrame) -> DataFrame:
     """Counts over :func:`parse_tables` rows."""
     return tables.agg(
         F.count("*").alias("tables_checked"),
-        F.coalesce(F.sum("checks"), E_INT).alias("total_checks"),
-        F.coalesce(F.sum("failures"), E_INT).alias("total_failures"),
-        (F.coalesce(F.sum("failures"), E_INT) == 0).alias("overall_pass"),
+        F.coalesce(F.sum("checks"), F.lit(0)).alias("total_checks"),
+        F.coalesce(F.sum("failures"), F.lit(0)).alias("total_failures"),
+        (F.coalesce(F.sum("failures"), F.lit(0)) == 0).alias("overall_pass"),
     )
 
 

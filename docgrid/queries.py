@@ -251,7 +251,8 @@ def last_numeric_col(t):
     some = lambda test: F.when(test, money(F.col("l_extendedprice"))).otherwise("")
     row = F.array(F.lit("甲"), some(F.col("l_tax") > 0.05), some(F.col("l_discount") > 0.03), some(F.col("l_discount") > 0.06))
     grids = t("lineitem").groupBy("l_suppkey").agg(F.collect_list(row).alias("grid"))
-    return grids.select("l_suppkey", tables.last_numeric_col(tables.numeric_grid(F.col("grid"))).alias("last_col"))
+    # numbers are read once, in a column of their own
+    return grids.withColumn("num", tables.numeric_grid(F.col("grid"))).select("l_suppkey", tables.last_numeric_col(F.col("num")).alias("last_col"))
 
 
 # -- grids ------------------------------------------------------------------------------------------
