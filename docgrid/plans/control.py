@@ -37,7 +37,7 @@ def assess(request: Column, pages: Column, is_image: Column) -> Column:
         tasks.alias("task_types"),
         F.when(table | poor, "hard").otherwise("medium").alias("difficulty"),
         repairs.alias("preprocessing"),
-        _names("mineru_parser", _if(table, "table_parser"), _if(chart, "chart_analyzer"), _if(poor, "image_enhancer")).alias("recommended_tools"),
+        _names("document_parser", _if(table, "table_parser"), _if(chart, "chart_analyzer"), _if(poor, "image_enhancer")).alias("recommended_tools"),
         (F.size(tasks) + F.size(repairs) + 1).alias("estimated_subtasks"),
     )
 
@@ -61,7 +61,7 @@ def build_plan(assessment: Column, pages: Column, path: Column) -> Column:
     has = lambda name: F.array_contains(assessment["task_types"], name)
     image = F.regexp_replace(suffix(path), r"^\.", "").isin(*IMAGE_SUFFIXES)
     kinds = _names(
-        F.when(image & (F.size(assessment["preprocessing"]) > 0), F.lit("preprocess:image_enhancer")), "extract:mineru_parser",
+        F.when(image & (F.size(assessment["preprocessing"]) > 0), F.lit("preprocess:image_enhancer")), "extract:document_parser",
         F.when(has("table_extract") | has("financial_report"), F.lit("table:table_parser")), F.when(has("chart_analysis"), F.lit("chart:chart_analyzer")),
         F.when(has("cross_page_merge") & (pages > 1), F.lit("merge:cross_page_merger")), "verify:verifier",
     )
@@ -81,7 +81,7 @@ def build_subtasks(assessment: Column, pages: Column) -> Column:
     """The planner's own plan: a table step per kind, each step after all before it: name, tool_name, dependencies."""
     types = assessment["task_types"]
     special = F.transform(F.filter(types, lambda t: t.isin("table_extract", "financial_report", "chart_analysis")), lambda t: F.when(t == "chart_analysis", F.lit("chart:chart_parser")).otherwise(F.lit("table:table_parser")))
-    lead = _names(F.when(F.size(assessment["preprocessing"]) > 0, F.lit("preprocess:preprocessor")), "extract:mineru_parser")
+    lead = _names(F.when(F.size(assessment["preprocessing"]) > 0, F.lit("preprocess:preprocessor")), "extract:document_parser")
     tail = _names(F.when(F.coalesce(pages, F.lit(1)) > 1, F.lit("merge:cross_page_merger")), "verify:verifier")
     numbered = F.transform(F.concat(lead, special, tail), lambda k, i: F.when(k.startswith("table:") | k.startswith("chart:"), F.concat(F.substring_index(k, ":", 1), F.lit("_"), i.cast("string"), F.lit(":"), F.substring_index(k, ":", -1))).otherwise(k))
     ids = F.transform(numbered, lambda k: F.substring_index(k, ":", 1))

@@ -588,7 +588,7 @@ WITH {_REQUESTS}, {_ASSESSED},
 k AS (SELECT conv_id, turn, list_filter([CASE WHEN image THEN 'preprocess' END, 'extract', CASE WHEN t THEN 'table' END, CASE WHEN c THEN 'chart' END, CASE WHEN m THEN 'merge' END, 'verify'], lambda x: x IS NOT NULL) AS s, image FROM a),
 u AS (SELECT conv_id, turn, s, image, unnest(s) AS kind, generate_subscripts(s, 1) - 1 AS i FROM k)
 SELECT conv_id, turn, i::INT AS i, format('step_{{:03d}}_{{}}', i, kind) AS step_id,
-  CASE kind WHEN 'preprocess' THEN 'image_enhancer' WHEN 'extract' THEN 'mineru_parser' WHEN 'table' THEN 'table_parser' WHEN 'chart' THEN 'chart_analyzer' WHEN 'merge' THEN 'cross_page_merger' ELSE 'verifier' END AS tool_name,
+  CASE kind WHEN 'preprocess' THEN 'image_enhancer' WHEN 'extract' THEN 'document_parser' WHEN 'table' THEN 'table_parser' WHEN 'chart' THEN 'chart_analyzer' WHEN 'merge' THEN 'cross_page_merger' ELSE 'verifier' END AS tool_name,
   (CASE kind WHEN 'preprocess' THEN 0 WHEN 'extract' THEN image::INT WHEN 'verify' THEN i ELSE 1 END)::INT AS n_dependencies
 FROM u
 """)

@@ -79,7 +79,7 @@ def test_plans(spark):
     df = spark.createDataFrame([("解析财务报表", 20, "/a/b.png"), ("read", 1, "x.pdf")], "r string, p int, f string")
     df = df.withColumn("a", control.assess(F.col("r"), F.col("p"), F.col("f").endswith("png")))
     plans = [[s.tool_name for s in r.s] for r in df.select(control.build_plan(F.col("a"), F.col("p"), F.col("f")).alias("s")).collect()]
-    assert plans == [["image_enhancer", "mineru_parser", "table_parser", "cross_page_merger", "verifier"], ["mineru_parser", "verifier"]]
+    assert plans == [["image_enhancer", "document_parser", "table_parser", "cross_page_merger", "verifier"], ["document_parser", "verifier"]]
     steps = [{"step_id": "a", "tool_name": "ok"}, {"step_id": "b", "tool_name": "bad"}]
 
     def bad(params, context):
