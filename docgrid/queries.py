@@ -366,11 +366,9 @@ FROM glued GROUP BY doc_id, grp
 """)
 def text_merge_chains(t):
     """M6, M7: paragraphs that page breaks every 180 characters have torn."""
-    starts = F.sequence(F.lit(0), F.least(F.expr("(length(text) - 1) div 180"), F.lit(399)).cast("int"))
     docs = t("documents").where("length(text) > 0")
-    blocks = docs.select("doc_id", "text", F.explode(starts).alias("pos")).select(
-        "doc_id", "pos", F.col("pos").alias("page_idx"), F.lit("text").alias("type"), F.substring("text", F.col("pos") * 180 + 1, F.lit(180)).alias("text")
-    )
+    pieces = F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,180}"), F.lit(0))).alias("pos", "text")
+    blocks = docs.select("doc_id", pieces).select("doc_id", "pos", F.col("pos").alias("page_idx"), F.lit("text").alias("type"), "text")
     out = merge.merge_texts(blocks)
     return out.select("doc_id", "pos", "chain_length", F.length("text").alias("chars"), F.md5("text").alias("digest"))
 
