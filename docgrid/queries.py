@@ -780,7 +780,7 @@ FROM documents, (SELECT unnest(range(0, 6000, 30)) AS k) WHERE k < n_chars // 40
 def page_chunks(t):
     """Parts of long documents."""
     pages = F.expr("n_chars div 40")
-    return t("documents").select("doc_id", F.posexplode(files.page_ranges(pages, 30)).alias("i", "r")).select("doc_id", "i", "r.*").where("start < 6000")
+    return t("documents").select("doc_id", F.posexplode(files.page_ranges(pages, 30)).alias("i", "r")).select("doc_id", "i", "r.*")
 
 
 @query("""

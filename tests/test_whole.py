@@ -12,3 +12,9 @@ def test_long_text_is_merged_whole(spark, tmp_path):
     out = queries.QUERIES["text_merge_chains"](spark, str(tmp_path))
     # pieces end with a line feed after a full stop, so none goes on
     assert out.agg(F.count("*"), F.sum("chars"), F.max("pos")).first()[:] == (834, 150_000, 833)
+
+
+def test_all_parts_of_a_very_long_document(spark, tmp_path):
+    spark.createDataFrame([(1, 300_000), (2, 39)], "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.QUERIES["page_chunks"](spark, str(tmp_path))
+    assert out.agg(F.count("*"), F.max("start"), F.max("stop")).first()[:] == (250, 7470, 7500)
