@@ -536,7 +536,7 @@ def requests(t) -> DataFrame:
     extra = F.element_at(F.array(*[F.lit(x) for x in ("", " 财务报表", " chart of graphs", " 模糊扫描", " export as csv", " table chart 手写", " complete")]), (F.col("conv_id") % 7 + 1).cast("int"))
     pages = (F.col("turn") % 3 + 1).cast("int")
     path = F.concat(F.lit("/in/"), F.col("conv_id").cast("string"), F.element_at(F.array(*[F.lit(x) for x in (".pdf", ".PNG", ".docx")]), (F.col("turn") % 3 + 1).cast("int")))
-    return t("conversations").where("text is not null").select("conv_id", "turn", F.concat(F.left("text", F.lit(18)), extra).alias("request"), pages.alias("pages"), path.alias("path"))
+    return t("conversations").select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), extra).alias("request"), pages.alias("pages"), path.alias("path"))
 
 
 def _sql_any(words, text: str = "lower(request)") -> str:
@@ -610,7 +610,7 @@ SELECT doc_id, round(greatest(0, least(1,
 def quality_score(t):
     """How good a result is."""
     k, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
-    request = F.concat(F.left(text, F.lit(40)), F.when(k % 3 == 0, " 表格").otherwise(" merge"))
+    request = F.concat(text, F.when(k % 3 == 0, " 表格").otherwise(" merge"))
     steps = k % 5
     score = control.quality_score(request, F.length(text), k % 120, k % 400, k % 9, k % 14, steps, F.least(k % 4, steps), merged=(k % 2 == 0))
     return t("documents").select("doc_id", F.round(score, 6).alias("quality_score"))

@@ -18,3 +18,22 @@ def test_all_parts_of_a_very_long_document(spark, tmp_path):
     spark.createDataFrame([(1, 300_000), (2, 39)], "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     out = queries.QUERIES["page_chunks"](spark, str(tmp_path))
     assert out.agg(F.count("*"), F.max("start"), F.max("stop")).first()[:] == (250, 7470, 7500)
+
+
+def test_requests_are_read_whole(spark, tmp_path):
+    """Words far behind the beginning count; a null text is an empty request."""
+    rows = [(7, 0, "x" * 500 + " 图表和表格"), (7, 1, "y" * 500 + " comprehensive"), (7, 2, None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    told = lambda name: {r.turn: r for r in queries.QUERIES[name](spark, str(tmp_path)).collect()}
+    assess, simple = told("task_assess"), told("task_assess_simple")
+    assert assess[0].task_types == "document_parse,table_extract,financial_report,chart_analysis" and assess[0].difficulty == "hard"
+    assert {k: r.difficulty for k, r in simple.items()} == {0: "hard", 1: "hard", 2: "easy"}
+    plan = {(r.turn, r.tool_name) for r in queries.QUERIES["task_plan"](spark, str(tmp_path)).collect()}
+    assert {(0, "table_parser"), (0, "chart_analyzer"), (2, "verifier")} <= plan
+
+
+def test_quality_reads_whole_texts(spark, tmp_path):
+    """Asked for tables behind place 40, merged as the added word asks: 0.05 more."""
+    spark.createDataFrame([(2, "z" * 90 + " 表格"), (25202, "z" * 90 + " 表哥")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.quality_score for r in queries.QUERIES["quality_score"](spark, str(tmp_path)).collect()}
+    assert got[2] != got[25202]
