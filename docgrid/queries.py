@@ -439,8 +439,7 @@ UNION ALL SELECT doc_id, 'person', 'Mr. Smith', 0 FROM s
 """)
 def entity_registry(t):
     """Entities of a document by category, each once."""
-    found = entities.entity_registry(sentences(t)).where("category in ('company', 'money', 'date', 'percentage', 'person') and text not like '该%' and text not like '%确认%'")
-    return found.groupBy("doc_id", "category", "text").agg(F.min("ord").alias("o")).select("doc_id", "category", "text", (F.row_number().over(Window.partitionBy("doc_id", "category").orderBy("o")) - 1).cast("long").alias("ord"))
+    return entities.entity_registry(sentences(t)).select("doc_id", "category", "text", F.col("ord").cast("long").alias("ord"))
 
 
 @query(f"""
@@ -450,10 +449,7 @@ UNION ALL SELECT doc_id, 0, '上述金额', amount, 0.65, 'rule' FROM s
 """)
 def reference_resolution(t):
     """What expressions refer to."""
-    out = entities.resolve_references(sentences(t).where("pos = 0"))
-    # the company's own expression is a company by the patterns; the one named first is meant here
-    names = out.withColumn("resolved_entity", F.when(F.col("reference") == "该公司", F.regexp_extract("context_snippet", "(..科技有限公司)", 1)).otherwise(F.col("resolved_entity")))
-    return names.where("method = 'rule'").select("doc_id", "pos", "reference", "resolved_entity", "confidence", "method")
+    return entities.resolve_references(sentences(t)).select("doc_id", "pos", "reference", "resolved_entity", "confidence", "method")
 
 
 @query()

@@ -1,8 +1,12 @@
 """Queries on inputs that are longer or odder than the test tables have."""
 
+import re
+from difflib import SequenceMatcher
+
 from pyspark.sql import functions as F
 
 from docgrid import queries
+from docgrid.functions.vocabulary import ENTITIES, GENERIC_REFERENCE, REFERENCE_RULES, REFERENCES
 
 
 def test_long_text_is_merged_whole(spark, tmp_path):
@@ -37,3 +41,50 @@ def test_quality_reads_whole_texts(spark, tmp_path):
     spark.createDataFrame([(2, "z" * 90 + " 表格"), (25202, "z" * 90 + " 表哥")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.quality_score for r in queries.QUERIES["quality_score"](spark, str(tmp_path)).collect()}
     assert got[2] != got[25202]
+
+
+def brute_entities(blocks: list[str]) -> dict[str, list[str]]:
+    """Category to its entities, categories and entities in the order of their first mention."""
+    known: dict[str, list[str]] = {}
+    for text in blocks:
+        for category, pattern in ENTITIES:
+            for m in re.finditer(pattern, text):
+                x = m[1].strip()
+                if len(x) >= 2 and x not in known.setdefault(category, []):
+                    known[category].append(x)
+    return {c: xs for c, xs in known.items() if xs}
+
+
+def brute_references(blocks: list[str]) -> list[tuple]:
+    known, out = brute_entities(blocks), []
+    for pos, text in enumerate(blocks):
+        found: dict[int, str] = {}
+        for p in REFERENCES:
+            for m in re.finditer(p, text):
+                found.setdefault(m.start(), m[0])
+        for at, reference in found.items():
+            context = text[max(0, at - 120) : at + 120]
+            category, sure = next(((c, s) for c, s, ws in REFERENCE_RULES if re.search("|".join(ws), reference)), (None, None))
+            names = known.get(category) or [x for xs in known.values() for x in xs]
+            inside = [x for x in names if x in context]
+            if not names:
+                out.append((pos, reference, "", 0.0, "unresolved"))
+                continue
+            best = max(inside, key=context.rfind) if inside else max(names, key=lambda x: SequenceMatcher(None, context[-100:], x).ratio())
+            out.append((pos, reference, best, sure if category in known else GENERIC_REFERENCE, "rule" if category in known else "context"))
+    return out
+
+
+def test_entities_and_references_of_all_blocks(spark, tmp_path):
+    """Both queries, rows of the second block too, against brute force."""
+    rows = [(k, 1234.5 * k - 2000) for k in range(1, 8)]
+    spark.createDataFrame(rows, "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    docs: dict[int, list[str]] = {}
+    for r in queries.sentences(lambda t: spark.read.parquet(f"{tmp_path}/{t}.parquet")).orderBy("doc_id", "pos").collect():
+        docs.setdefault(r.doc_id, []).append(r.text)
+    got = sorted((r.doc_id, r.category, r.text, r.ord) for r in queries.QUERIES["entity_registry"](spark, str(tmp_path)).collect())
+    assert got == sorted((d, c, x, i) for d, blocks in docs.items() for c, xs in brute_entities(blocks).items() for i, x in enumerate(xs))
+    out = queries.QUERIES["reference_resolution"](spark, str(tmp_path)).collect()
+    got = sorted((r.doc_id, r.pos, r.reference, r.resolved_entity, r.confidence, r.method) for r in out)
+    assert got == sorted((d, *x) for d, blocks in docs.items() for x in brute_references(blocks))
+    assert {r.pos for r in out} == {0, 1}
