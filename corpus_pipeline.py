@@ -17,7 +17,7 @@ from docgrid.llm.decontam import contamination
 from docgrid.llm.langid import predict, train
 from docgrid.llm.line_dedup import dedup_lines
 from docgrid.llm.mixing import mix_sources
-from docgrid.llm.ngram_join import near_duplicates
+from docgrid.llm.ngram_join import linked, nodes
 
 
 def _fresh(name: str) -> str:
@@ -49,11 +49,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest doc_id stays."""
+    """Of each group of near copies, the document with the smallest doc_id stays.  Rows of one doc_id, null ones too,
+    are documents by their texts: only those that are copies go."""
     with common.scope(_fresh("near_copies")):
-        keyed = docs.select(_packed(docs), common.id_col().alias("_doc"))
-        found = near_duplicates(docs)
-        copies = common.materialize(found.where("component_id <> doc").select(F.col("doc").alias("_doc")).distinct(), "pipeline-copies")
+        keyed = nodes(docs.select(_packed(docs), common.id_col().alias("id"), F.col("text").cast("string").alias("text")))
+        found = linked(keyed.select("doc", "text")).withColumn("id", F.col("doc"))
+        told = keyed.where("doc <> id").select("doc", F.col("id").alias("told")).distinct()
+        found = found.join(told, "doc", "left").select("doc", "comp", F.coalesce("told", "id").alias("id"))
+        found = common.materialize(found, "pipeline-linked")
+        first = found.groupBy("comp").agg(F.min(F.struct("id", "doc")).alias("first"))
+        copies = found.join(first, "comp").where("doc <> first.doc").select(F.col("doc").alias("_doc")).distinct()
+        copies = common.materialize(copies, "pipeline-copies")
+        keyed = keyed.select("_row", F.col("doc").alias("_doc"))
         slots = copies.select(F.pmod(F.xxhash64("_doc"), F.lit(common.SLOTS)).alias("_slot")).distinct()
         keyed = keyed.withColumn("_slot", F.pmod(F.xxhash64("_doc"), F.lit(common.SLOTS)))
         # only documents whose slot has a copy have to meet the list

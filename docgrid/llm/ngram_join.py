@@ -21,8 +21,9 @@ whose documents are in one component need nothing more.  The pairs left - in one
 in different components - are all tested.
 
 Defined cases: null, empty or blank text: empty set, linked with nothing; fewer than five words: the
-whole sequence is the one shingle; rows that share a doc_id share a component; null ids are one node that
-orders last and comes back as null; other columns are ignored.
+whole sequence is the one shingle; rows that share a doc_id are apart while links are sought, each text by itself,
+and share a component when it is reported; null ids are one id that orders last and comes back as null; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -94,6 +95,17 @@ def distance(x: bytes, y: bytes) -> int:
     return (int.from_bytes(x) ^ int.from_bytes(y)).bit_count()
 
 
+def nodes(docs: DataFrame) -> DataFrame:
+    """``docs`` (id, text and others) with ``doc``, what is linked: the id, or where an id of the same hash slot has
+    several texts, a number of id and text.  Rows alike in both are one document."""
+    own = F.xxhash64("id", "text").bitwiseAND((1 << 63) - 1)  # the sign is taken off in best_partner
+    slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS)).alias("_slot")
+    texts = docs.groupBy("id").agg(F.min(own).alias("_low"), F.max(own).alias("_high")).where("_low <> _high")
+    several = materialize(texts.select(slot).distinct(), "ngram-several").withColumn("_more", F.lit(True))
+    rows = docs.withColumn("_slot", slot).join(F.broadcast(several), "_slot", "left")
+    return rows.select(F.when(F.col("_more"), own).otherwise(F.col("id")).alias("doc"), *docs.columns)
+
+
 def profile(docs: DataFrame) -> DataFrame:
     """doc, n, two set hashes and a whole-set parity sketch of every document."""
 
@@ -413,9 +425,8 @@ def near_within(rows: DataFrame, base: DataFrame, block: int = BLOCK) -> DataFra
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc (null ids stand last), n_shingles, component_id: one row per row of ``docs``."""
-    docs = docs.select(id_col().alias("doc"), F.col("text").cast("string").alias("text"))
+def linked(docs: DataFrame) -> DataFrame:
+    """``docs``: doc, text.  doc, n, comp of every row: components of the links, by one of their docs."""
     profiles = profile(docs)
     groups = profiles.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc").alias("rep"))
     base = materialize(profiles.join(groups, ["h1", "h2", "n"], "left").select("doc", "n", "rep", "sketch"), "ngram-base")
@@ -460,8 +471,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             pairs = near(best_partner(shared.where("comp <> low").join(heads, "key").select("a", F.col("doc").alias("b"))))
         now = materialize(ordered(pairs).join(tested, ["a", "b"], "left_anti"), "ngram-untested")
         tested, links = tested.unionAll(now), links.unionAll(exact(now))
-    least = comp.groupBy("doc").agg(F.min("comp").alias("comp"))
-    return base.join(least, "doc", "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc").alias("component_id"))
+    return base.select("doc", "n").join(comp.select("doc", "comp").distinct(), "doc", "left").select("doc", "n", F.coalesce("comp", "doc").alias("comp"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc (null ids stand last), n_shingles, component_id: one row per row of ``docs``."""
+    docs = nodes(docs.select(id_col().alias("id"), F.col("text").cast("string").alias("text")))
+    found = linked(docs.select("doc", "text"))
+    ids = docs.where("doc <> id").select("doc", "id").distinct()
+    rows = found.join(ids, "doc", "left").select(F.coalesce("id", "doc").alias("doc"), "n", "comp")
+    rows = materialize(rows, "ngram-rows")
+    # the texts of one id join their components
+    own = rows.groupBy("doc").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    joined = components(rows.join(own, "doc").select(F.col("low").alias("a"), F.col("comp").alias("b")))
+    rows = rows.join(joined, rows["comp"] == joined["node"], "left").select("doc", "n", F.coalesce("component", "comp").alias("comp"))
+    least = rows.groupBy("comp").agg(F.min("doc").alias("component_id"))
+    return rows.join(least, "comp").select("doc", F.col("n").alias("n_shingles"), "component_id")
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

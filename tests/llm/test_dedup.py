@@ -74,6 +74,22 @@ def test_near_duplicates_odd_rows(spark):
     assert ngram_join.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_near_duplicates_of_rows_that_share_an_id(spark):
+    """A row that is a copy takes neither its id's other rows nor their links away."""
+    r = random.Random(8)
+    three, nine, other = (" ".join(words(r, 80)) for _ in range(3))
+    rows = [(3, three), (9, nine), (None, three), (None, nine + " X"), (7, other), (7, other + " X"), (5, three), (5, "alone")]
+    rows += [(20, None), (20, nine + " X"), (21, " "), (22, "alone it is")]
+    rows = [(d, t, "", "", 0) for d, t in rows]
+    found = sorted(tuple(x) for x in ngram_join.near_duplicates(frame(spark, rows)).collect())
+    sets = [shingles(t) for _, t, *_ in rows]
+    alike = lambda i, j: sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+    ids = [LAST_ID if d is None else d for d, *_ in rows]
+    root = reachable(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if ids[i] == ids[j] or alike(i, j)])
+    least = {x: min(d for d, y in zip(ids, root, strict=True) if y == x) for x in root}
+    assert found == sorted((d, len(s), least[x]) for d, s, x in zip(ids, sets, root, strict=True))
+
+
 def test_sketches():
     r = np.random.default_rng(3)
     for n in (40, 300, 2000):

@@ -65,3 +65,14 @@ def test_empty_and_other_columns(spark, tmp_path):
             after = stage(spark, docs, str(tmp_path))
             assert after.columns == docs.columns
             assert rows_of(after) == rows_of(docs) if n == 0 else after.count() == n
+
+
+def test_near_copies_of_rows_that_share_an_id(spark, tmp_path):
+    """Of rows without an id, or with one and the same, only the copies go."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(1, text(1)), (2, text(2)), (None, text(1) + " more"), (None, text(3)), (None, text(4)), (None, None), (5, text(2)), (5, text(6)), (8, text(7)), (8, text(7) + " more")]
+    docs = frame(spark, [(d, t, None, None, 0) for d, t in rows])
+    now = [(r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, docs, str(tmp_path)).collect()]
+    gone = {(None, text(1) + " more"), (5, text(2))}
+    assert len(now) == 7 and len({(8, text(7)), (8, text(7) + " more")} & set(now)) == 1
+    assert {x for x in now if x[0] != 8} == {x for x in rows if x[0] != 8} - gone
