@@ -1,15 +1,17 @@
 """Word n-gram Jaccard join by parity sketches.
 
-A document's set is its distinct 5-word shingles.  Shingles fall into the pieces of a sketch by hash and
-flip a bit there, so two sketches differ in at most as many pieces - and bits - as the sets differ in
-shingles.  Jaccard >= 0.8 bounds the symmetric difference by D = (|A| + |B|) / 9, so of P pieces at least
+A document's set is its distinct 5-word shingles.  Shingles fall into the pieces of a sketch by hash and are
+added there by exclusive or, each with its whole 64-bit hash, so two sketches differ in at most as many pieces
+as the sets differ in shingles, and pieces of different shingles are equal only if 64-bit hashes collide.
+Jaccard >= 0.8 bounds the symmetric difference by D = (|A| + |B|) / 9, so of P pieces at least
 P - D are equal: with a common order of pieces, the first D + 1 of either side share one (pigeonhole).
 Documents of sizes within a factor of two share a geometry; a document near the upper end of a band
 also joins the band below, so that every pair that could link meets in one.
 
-Of the order, pieces of many shingles come first: they are rarely shared by chance.  A few more than D + c of
-them become keys, the documents of each key are counted, and each document drops as many of its most
-common keys as it had more (c remain shared).  A key that nobody shares finds nothing, so most documents
+Of the order, pieces of many shingles come first: they are rarely those of a passage alone.  D + c of them and s
+more, a number of the band, become keys, the documents of each key are counted, and each document drops its s most
+common keys (what two documents both drop are the most common of the keys that they share, so c remain shared).
+A key that nobody shares finds nothing, and a document with fewer than c keys left has no partner, so most documents
 drop out at once, and passages that many documents share are keys only where a document has little else.
 
 Steps: sketch every document and collapse equal sets; emit the pieces as keys and count them; keep each
@@ -22,17 +24,17 @@ in different components - are all tested.
 
 Defined cases: null, empty or blank text: empty set, linked with nothing; fewer than five words: the
 whole sequence is the one shingle; rows that share a doc_id are apart while links are sought, each text by itself,
-and share a component when it is reported; null ids are one id that orders last and comes back as null; other
-columns are ignored.
+and, where they have words, share a component when it is reported; null ids are one id that orders last and comes back
+as null; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SLOTS, binary, chunks, gram_hashes, id_back, id_col, materialize, mix, read, signed, slot_filter, word_hashes
@@ -130,26 +132,40 @@ def overlap(band: int) -> int:
     return (1, 1, 1, 1, 2, 2, 3, 4, 6, 8)[min(band, 9)]
 
 
+def spare(band: int) -> int:
+    """Keys above those that count: as many of the most common ones are dropped."""
+    return 0 if band < 5 else max(2, (2 << band) // 64)
+
+
 def geometry(n: int) -> list[tuple[int, int, int]]:
-    """Bands of a set of n: (band, pieces, keys that count: pieces that may differ + overlap)."""
+    """Bands of a set of n: (band, pieces, keys that count: pieces that may differ + overlap).  A set has only bands
+    in which it may be the smaller one of a pair, or the larger one of a pair whose smaller one is of the band."""
     out = []
     for band in range(max(0, n.bit_length() - 2), n.bit_length()):
         top = (2 << band) - 1  # the largest size of a pair's smaller set in this band
         if n <= top + top // 4:
             # pieces of about three shingles; single shingles where sets are small, so that none is empty
             pieces = 1024 if top < 32 else (top + 1) // 3 + 16
-            out.append((band, pieces, min(n // 4, (top + n) // 9) + overlap(band)))
+            differ = n // 4 if n <= top else (top + n) // 9
+            if differ:  # else only equal sets link
+                out.append((band, pieces, differ + overlap(band)))
     return out
 
 
-def sketch_keys(own: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The keys of each set - for each of its bands a hash of its first pieces: those of the most shingles, some
-    more than count - with the set that each key is of, its band, and how many more they are."""
+def lowest_band(n: int) -> int:
+    found = geometry(n)
+    return found[0][0] if found else 0
+
+
+def sketch_keys(own: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of each set - for each of its bands a hash of its first pieces: those of the most shingles, ``spare``
+    more than count - with the set that each key is of, and its band."""
     first = np.cumsum(sizes) - sizes
     sets = [(i, *g) for i, n in enumerate(sizes.tolist()) if n for g in geometry(n)]
     if not sets:
-        return np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3
+        return np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 2
     row, band, pieces, need = (np.array(x, np.int64) for x in zip(*sets, strict=True))
+    need += np.array([spare(k) for k in range(64)])[band]
     many = sizes[row]
     end = np.cumsum(many)
     of = np.repeat(np.arange(len(row)), many)  # set and band of each element
@@ -159,7 +175,7 @@ def sketch_keys(own: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
     order = np.argsort(spot)
     spot, h = spot[order], h[order]
     starts = np.flatnonzero(np.diff(spot, prepend=-1))
-    parity = np.bitwise_xor.reduceat(np.left_shift(np.uint64(1), h & np.uint64(63)), starts)
+    parity = np.bitwise_xor.reduceat(mix(h), starts)
     spot = spot[starts]
     of = np.searchsorted(base, spot, side="right") - 1
     key = mix(parity * np.uint64(0x9E3779B97F4A7C15) + (spot - base[of]).astype(np.uint64) * np.uint64(64) + band[of].astype(np.uint64))
@@ -168,16 +184,13 @@ def sketch_keys(own: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
     order = np.lexsort([(np.uint64(255) - held) << np.uint64(56) | (key >> np.uint64(8)), of])
     have = np.bincount(of, minlength=len(row))
     rank = np.arange(len(of)) - np.repeat(np.cumsum(have) - have, have)
-    spare = np.maximum(need // 16, 2)
-    chosen = order[rank < (need + spare)[of]]
-    key, of, spot = key[chosen], of[chosen], spot[chosen]
-    have = np.minimum(have, need + spare)
+    chosen = order[rank < need[of]]
+    key, at, spot = key[chosen], of[chosen], spot[chosen]
     for k in np.flatnonzero(have < need):  # equal empty pieces count too
-        empty = np.setdiff1d(np.arange(pieces[k]), spot[of[: len(spot)] == k] - base[k])[: need[k] - have[k]]
+        empty = np.setdiff1d(np.arange(pieces[k]), spot[at[: len(spot)] == k] - base[k])[: need[k] - have[k]]
         key = np.concatenate([key, mix(empty.astype(np.uint64) * np.uint64(64) + np.uint64(band[k]))])
-        of = np.concatenate([of, np.full(len(empty), k)])
-    have = np.maximum(have, need)
-    return key, row[of], band[of], (have - need)[of]
+        at = np.concatenate([at, np.full(len(empty), k)])
+    return key, row[at], band[at]
 
 
 def representatives(docs: DataFrame, base: DataFrame) -> DataFrame:
@@ -191,14 +204,14 @@ def representatives(docs: DataFrame, base: DataFrame) -> DataFrame:
 
 
 def emit_keys(docs: DataFrame) -> DataFrame:
-    """(key, doc, n, band, spare) of every document."""
+    """(key, doc, about: band and n) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text"):
             own, sizes = shingle_sets(binary(part, "text"))
-            key, row, band, spare = sketch_keys(own, sizes)
+            key, row, band = sketch_keys(own, sizes)
             doc = part.column(0).to_numpy(zero_copy_only=False)
-            about = sizes[row] | spare << 32 | band << 58  # one number in the shuffle
+            about = sizes[row] | band << 32  # one number in the shuffle
             yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(doc[row], pa.int64()), pa.array(about)], ["key", "doc", "about"])
 
     return docs.mapInArrow(run, "key long, doc long, about long")
@@ -241,12 +254,19 @@ def shared_keys(keys: DataFrame) -> DataFrame:
     return keys.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(run, "key long, doc long, about long, size long")
 
 
+def by_band(f: Callable[[int], int]) -> Column:
+    """f of the band in ``about``."""
+    return F.array(*[F.lit(f(k)) for k in range(40)])[F.shiftright("about", 32).cast("int")]
+
+
 def rare_keys(shared: DataFrame) -> DataFrame:
-    """Each document without its most common keys: as many as it emitted more than D + c."""
-    spare = F.shiftright("about", 32).bitwiseAND((1 << 26) - 1)
-    # if fewer than the spare ones are shared at all, nothing is left
-    rank = F.row_number().over(Window.partitionBy("doc", "about").orderBy(F.col("size").desc(), F.col("key").desc()))
-    return shared.withColumn("_rank", rank).where(F.col("_rank") > spare).select("key", "doc", F.col("about").bitwiseAND((1 << 32) - 1).alias("n"))
+    """Each document without its ``spare`` most common keys; documents with fewer than ``overlap`` left have no partner."""
+    own = Window.partitionBy("doc", "about")
+    # keys that nobody shares are the least common ones: if fewer than the spare ones are shared, nothing is left
+    rank, have = F.row_number().over(own.orderBy(F.col("size").desc(), F.col("key").desc())), F.count("*").over(own)
+    rows = shared.withColumn("_rank", rank).withColumn("_have", have)
+    rows = rows.where((F.col("_rank") > by_band(spare)) & (F.col("_have") >= by_band(spare) + by_band(overlap)))
+    return rows.select("key", "doc", F.col("about").bitwiseAND((1 << 32) - 1).alias("n"))
 
 
 def candidates(keys: DataFrame) -> DataFrame:
@@ -258,7 +278,7 @@ def candidates(keys: DataFrame) -> DataFrame:
         held = [np.empty(0, np.int64)] * 3  # the last run, while it is short
         long: tuple[int, int] | None = None  # key and first document of a run that isn't
         # by size: overlap in the lowest band that a set of that size is in
-        least = np.array([1] + [overlap(geometry(n)[0][0]) for n in range(1, 2048)], np.int64)
+        least = np.array([1] + [overlap(lowest_band(n)) for n in range(1, 2048)], np.int64)
 
         def told(key: np.ndarray | None, a: np.ndarray, b: np.ndarray, *counts: np.ndarray) -> pa.RecordBatch:
             none = pa.nulls(len(a), pa.int64())
@@ -359,7 +379,7 @@ def rest_pairs(mixed: DataFrame, few: DataFrame, base: DataFrame) -> tuple[DataF
     it shares one that isn't among the need - 1 most common of either document: these (key, doc, comp, n)
     come second."""
     tops = sorted({n for k in range(1, 12) for n in ((1 << k) - 1, ((1 << k) - 1) * 5 // 4)})
-    lowest = F.expr("case " + " ".join(f"when n <= {top} then {overlap(geometry(top)[0][0])}" for top in tops) + f" else {overlap(99)} end")
+    lowest = F.expr("case " + " ".join(f"when n <= {top} then {overlap(lowest_band(top))}" for top in tops) + f" else {overlap(99)} end")
     counts = mixed.groupBy("key").agg(F.count("*").alias("size"))
     rows = mixed.select("key", "doc", "comp").join(counts, "key").join(base.select("doc", "n", lowest.alias("need")), "doc")
     by_doc = Window.partitionBy("doc")
@@ -481,12 +501,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ids = docs.where("doc <> id").select("doc", "id").distinct()
     rows = found.join(ids, "doc", "left").select(F.coalesce("id", "doc").alias("doc"), "n", "comp")
     rows = materialize(rows, "ngram-rows")
-    # the texts of one id join their components
-    own = rows.groupBy("doc").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    joined = components(rows.join(own, "doc").select(F.col("low").alias("a"), F.col("comp").alias("b")))
-    rows = rows.join(joined, rows["comp"] == joined["node"], "left").select("doc", "n", F.coalesce("component", "comp").alias("comp"))
-    least = rows.groupBy("comp").agg(F.min("doc").alias("component_id"))
-    return rows.join(least, "comp").select("doc", F.col("n").alias("n_shingles"), "component_id")
+    # the texts of one id join their components; those without a word are linked with nothing
+    own = rows.where("n > 0").groupBy("doc").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    joined = components(rows.where("n > 0").join(own, "doc").select(F.col("low").alias("a"), F.col("comp").alias("b")))
+    full = rows.where("n > 0").join(joined, F.col("comp") == F.col("node"), "left").select("doc", "n", F.coalesce("component", "comp").alias("comp"))
+    least = full.groupBy("comp").agg(F.min("doc").alias("component_id"))
+    found = full.join(least, "comp").select("doc", F.col("n").alias("n_shingles"), "component_id")
+    return found.unionAll(rows.where("n = 0").select("doc", F.col("n").alias("n_shingles"), F.col("doc").alias("component_id")))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
