@@ -152,7 +152,9 @@ def cell_confidence(rows: Column, nums: Column, failed: Column, odd: Column) ->
 
 
 def table_confidence(scores: Column) -> Column:
-    return F.when(F.size(scores) == 0, F.lit(0.0)).otherwise(F.round(_sum(F.transform(scores, lambda s: s["score"])) / F.size(scores), 3))
+    """The mean to three places, of whole thousandths, so that no tie depends on the order of the cells."""
+    total = F.aggregate(scores, F.lit(0).cast("long"), lambda a, s: a + F.round(s["score"] * 1000).cast("long"))
+    return F.when(F.size(scores) == 0, F.lit(0.0)).otherwise(F.round(total / F.size(scores)) / 1000)
 
 
 def classify(grid: Column) -> Column:
