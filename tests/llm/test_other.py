@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import tracemalloc
 import unicodedata
 
 import duckdb
@@ -210,6 +211,33 @@ def test_pii_query(spark):
     assert got[None].spans == "secret:13:53"
 
 
+def test_pii_odd_texts(spark):
+    """Thousands of leading zeros, spans of the field between base spans, no rows, columns with the operator's names."""
+    field = pii.trained()
+    zeros = "0" * 5000 + ".1.2.3 " + "0" * 5000 + "1.1.1.999"
+    assert pii.base_spans(zeros) == [("ip", 0, 5006)]
+    text = 'a@b.cd token = "9dd3c80004c73dc9e548fee51b23b527780d4f20" 10.0.0.1 '
+    base, spans = pii.find_spans(text * 50, field)
+    assert len(base) == 100 and sum(s[0] == "secret" for s in spans) == 50
+    assert [s for s in spans if any(s not in base and s[1] < b and a < s[2] for _, a, b in base)] == []
+    assert pii.find_pii(frame(spark, [])).count() == 0
+    docs = frame(spark, [(7, text * 2000, None, None, 0)]).selectExpr("*", "1 as n_ip", "'x' as spans", "0 as n_added")
+    got = pii.find_pii(docs).first()
+    assert (got.n_email, got.n_ip, got.n_secret, got.n_added, got.n_spans) == (2000, 2000, 2000, 2000, 6000)
+
+
+def test_field_memory_of_digits():
+    """Segments are scored as they are reached: a long text of numbers holds no features of its whole."""
+    r = random.Random(3)
+    text = " ".join(str(r.randint(100, 999)) for _ in range(4000))
+    pii.trained()
+    tracemalloc.start()
+    pii.find_spans(text, pii.trained())
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 12e6
+
+
 # -- 9 ------------------------------------------------------------------------------------------
 
 
