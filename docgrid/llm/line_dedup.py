@@ -1,8 +1,9 @@
 r"""Line dedup by a deletion-neighbourhood join.
 
-Lines are the pieces of a text between line feeds, without white space at the ends; those of at least
-``MIN_CHARS`` code points take part.  A line goes when an earlier one - by doc_id, then place - is equal or
-one edit away (a character changed, added or left out), judged on the input.  Earliest lines stay.
+Lines are the pieces of a text between line feeds, without white space at the ends; empty ones stay.  A line goes
+when an earlier one - by doc_id, then place - is equal or, where both have ``MIN_CHARS`` code points at least, one edit
+away (a character changed, added or left out), judged on the input.  Earliest lines stay.  An edit makes another word
+of a short line, so those go as exact copies only.
 
 * Equal lines are collapsed first: one row a distinct line, with its earliest place (map-side combine).
 * One edit leaves one half of the shorter line whole, so only lines that share a half (in the place that
@@ -14,8 +15,8 @@ one edit away (a character changed, added or left out), judged on the input.  Ea
   meets each of the others.  The stream has bounded memory, and a key that very many lines share costs one
   pair a line.  The edit distance of every such pair is then verified on the texts.
 
-Defined cases: null text has no lines and stays null; empty text is one empty line, kept; lines shorter than
-MIN_CHARS stay; rows that share doc_id and text are one document; null ids order last; other columns of
+Defined cases: null text has no lines and stays null; empty text is one empty line, kept; a line of any length is one
+row of hashes, and a text is split whole; no rows give none; rows that share doc_id and text are one document; null ids order last; other columns of
 ``docs`` ride along in :func:`dedup_lines`, packed, so that no name can clash.
 """
 
@@ -98,9 +99,9 @@ def _index(min_chars: int):
             rows = []
             for doc, th, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                 for i, line in enumerate(lines_of(text)):
-                    if len(line) >= min_chars:
+                    if line:
                         h = xxhash.xxh3_128_intdigest(line.encode("utf-8", "surrogatepass"))
-                        rows.append((doc, th, i, (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63), *half_keys(line)))
+                        rows.append((doc, th, i, (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63), *(half_keys(line) if len(line) >= min_chars else [None] * 4)))
             cols = list(zip(*rows, strict=True)) or [()] * 9
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
@@ -173,7 +174,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     distinct = materialize(distinct.select("h1", "h2", "n", "f.*"), "line-distinct")
     # halves that an own half and another line share; own keys name the class of lengths
     key = F.explode(F.array(*[F.struct(F.col(f"k{i}").alias("key"), F.lit(i < 2).alias("own"), F.lit(i % 2 == 0).alias("p")) for i in range(4)]))
-    halves = distinct.select(*place, key.alias("k")).select(*place, "k.*")
+    halves = distinct.where("k0 is not null").select(*place, key.alias("k")).select(*place, "k.*")
     shared = halves.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("own")).where("n > 1 and own").select("key")
     alive = halves.join(shared, "key").groupBy(*place).agg(F.max("p").alias("p"), F.max(~F.col("p")).alias("s"))
     wanted = materialize(alive.groupBy("doc", "th").agg(F.collect_list(F.struct("line", "p", "s")).alias("wanted")), "line-wanted")
@@ -202,15 +203,16 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, text: str = "text")
     """``_row`` (the columns of ``docs`` as a struct, ``text`` less its repeated lines), n_lines, n_removed.
     Documents without any are not shuffled with the others' lists, as far as hash slots can tell them apart."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    keyed = docs.select(whole, id_col().alias("_doc"), F.xxhash64(text).alias("_th"), F.col(text).cast("string").alias("_text"))
-    plain = keyed.where("_text is not null").select(F.col("_doc").alias("doc"), F.col("_th").alias("th"), F.col("_text").alias("text"))
+    keyed = docs.select(whole, id_col().alias("_doc"), F.xxhash64(text).alias("_th"))
+    plain = docs.where(F.col(text).isNotNull()).select(id_col().alias("doc"), F.xxhash64(text).alias("th"), F.col(text).cast("string").alias("text"))
     gone = repeated_lines(plain, min_chars).select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("gone").alias("_gone"))
     slot = lambda: F.pmod(F.xxhash64("_doc", "_th"), F.lit(SLOTS)).alias("_slot")
     taken = gone.select(slot()).distinct()
     keyed = keyed.withColumn("_slot", slot())
     clean = keyed.join(F.broadcast(taken), "_slot", "left_anti").withColumn("_gone", F.lit(None).cast("array<int>"))
     other = keyed.join(F.broadcast(taken), "_slot", "left_semi").join(gone, ["_doc", "_th"], "left")
-    cols = ["_row", "_text", "_gone"]
+    # the text travels once, in the row
+    cols = ["_row", F.col("_row").getField(text).cast("string").alias("_text"), "_gone"]
     both = clean.select(*cols).unionByName(other.select(*cols))
     kept = F.array_join(F.filter(F.split("_text", "\n", -1), lambda _, i: ~F.array_contains(F.col("_gone"), i)), "\n")
     breaks = F.length("_text") - F.length(F.replace(F.col("_text"), F.lit("\n"))) + 1

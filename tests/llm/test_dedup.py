@@ -169,11 +169,12 @@ def edit_distance(x, y):
 
 def brute_lines(rows, least):
     places = sorted((LAST_ID if d is None else d, i, line.strip(" \t\n\r\x0b\x0c")) for d, t, *_ in rows if t is not None for i, line in enumerate(t.split("\n")))
-    places = [p for p in places if len(p[2]) >= least]
+    places = [p for p in places if p[2]]
     by_size = defaultdict(list)
     gone = set()
     for d, i, line in places:
-        if any(y == line or edit_distance(line, y) <= 1 for n in (-1, 0, 1) for y in by_size[len(line) + n]):
+        # an edit counts between lines of the least length; shorter ones must be equal
+        if any(y == line or min(len(y), len(line)) >= least and edit_distance(line, y) <= 1 for n in (-1, 0, 1) for y in by_size[len(line) + n]):
             gone.add((d, i))
         by_size[len(line)].append(line)
     out = []
@@ -195,6 +196,7 @@ def test_lines(spark):
                 k = r.randrange(len(s))
                 r.choice([lambda k=k, s=s: s.insert(k, r.choice("abcé𝄞")), lambda k=k, s=s: s.__setitem__(k, r.choice("abc")), lambda k=k, s=s: s.pop(k)])()
             lines.append(r.choice(["", " "]) + "".join(s) + r.choice(["", "\r"]))
+        lines += r.sample(["{", "ab", "abc", "abca", "|", "", "\t"], r.randint(0, 2))
         rows.append((i, "\n".join(lines), "en", "a", 1))
     rows += [(60, None, None, None, None), (None, "abcababcab\nshort", None, None, 0), (61, "", "", "", 0)]
     got = line_dedup.dedup_lines(frame(spark, rows), min_chars=5).select("_row.doc_id", "n_lines", "n_removed", "_row.text").collect()
