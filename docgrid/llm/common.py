@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -26,9 +27,22 @@ _scratch: dict[str, list[tuple[SparkSession, str]]] = {}
 _scope = ["app"]
 
 
+#: Rows and bytes of an Arrow batch at most: batches pass whole through the JVM, Arrow and Python, several at a time.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's bounds of Arrow batches to :data:`BATCH`; lower ones stay."""
+    for key, most in BATCH.items():
+        now = int(spark.conf.get(key).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's ``spark.checkpoint.dir``; only where that is
     unset (tests) a local folder is made and set."""
+    small_batches(spark)
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -84,6 +98,7 @@ atexit.register(_at_exit)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -181,20 +196,38 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """A column, or a field of one: ``a.b``."""
+    first, *rest = name.split(".")
+    out = batch.column(batch.schema.get_field_index(first))
+    for x in rest:
+        out = pc.struct_field(out, x)
+    return out
+
+
+def trim() -> None:
+    """Gives memory that is free back to the system: Python's workers are reused, and would keep their peaks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def chunks(batches: Iterator[pa.RecordBatch], name: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``limit`` bytes of text each, so that Python lists of words
     stay small however many rows a batch has.  One long text is one slice: texts are never cut."""
     for batch in batches:
-        col = batch.column(batch.schema.get_field_index(column))
+        col = column(batch, name)
         size = np.asarray(pc.fill_null(pc.binary_length(col), 0)).astype(np.int64)
         ends, start, total = size.cumsum(), 0, 0
         while start < batch.num_rows:
             stop = max(start + 1, int(np.searchsorted(ends, total + limit, side="right")))
             yield batch.slice(start, stop - start)
             start, total = stop, int(ends[stop - 1])
+        del batch, col
+        trim()
 
 
-def binary(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
+def binary(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     """The UTF-8 bytes of a text column."""
-    col = batch.column(batch.schema.get_field_index(column))
+    col = column(batch, name)
     return col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).to_pylist()

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from .common import binary, chunks, materialize, read
 
@@ -111,11 +111,11 @@ class Index:
         return start, window
 
 
-def _hits(index: Index, last: bool, carry: bool):
+def _hits(index: Index, last: bool, carry: bool, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = {w: i for i, w in enumerate(index.vocabulary)}
-        for part in chunks(batches, "text"):
-            lists = [words_of(x) for x in binary(part, "text")]
+        for part in chunks(batches, text):
+            lists = [words_of(x) for x in binary(part, text)]
             sizes = np.array([len(x) for x in lists], np.int64)
             ends = np.cumsum(sizes)
             doc = np.repeat(np.arange(len(lists)), sizes)
@@ -173,7 +173,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
     own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if carry else []
-    state = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *own).withColumns(
+    # a text travels once: in the row, where that has it as a string
+    text = "_row.text" if carry and docs.schema["text"].dataType == StringType() else "_text"
+    own += [F.col("text").cast("string").alias("_text")] if text == "_text" else []
+    state = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *own).withColumns(
         {"_hit": F.lit(None).cast("binary"), "_items": F.lit(None).cast("array<string>")}
     )
     for b in range(blocks):
@@ -181,9 +184,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_
         index = Index([(r.item, bytes(r.text)) for r in rows], n)
         index.arrange(count_vocabulary(docs, index.vocabulary))
         if b < blocks - 1:
-            state = materialize(state.mapInArrow(_hits(index, False, carry), state.schema), "decontam-block")
+            state = materialize(state.mapInArrow(_hits(index, False, carry, text), state.schema), "decontam-block")
     schema = StructType.fromDDL("doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
-    return state.mapInArrow(_hits(index, True, carry), schema.add(state.schema["_row"]) if carry else schema)
+    return state.mapInArrow(_hits(index, True, carry, text), schema.add(state.schema["_row"]) if carry else schema)
 
 
 def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

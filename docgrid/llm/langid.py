@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from .common import chunks, read
+from .common import chunks, column, read
 
 CELLS = 1 << 16
 MAX_TRAIN = 2000
@@ -147,14 +147,15 @@ def infer(texts: list[str | None], table: np.ndarray, penalty: float = PENALTY,
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score; its other columns ride along under their own names."""
+    """``docs`` with lang_pred and score; its other columns ride along under their own names.  ``text`` may be a field
+    of a struct (``a.b``), so that texts travel once."""
     names, table = model
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(table)  # 256 KB a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, text, 1 << 20):
-            texts = part.column(part.schema.get_field_index(text)).to_pylist()
+            texts = column(part, text).to_pylist()
             if names:
                 share, total = infer(texts, shared.value)
             else:
