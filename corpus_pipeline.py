@@ -36,8 +36,11 @@ def _packed(docs: DataFrame) -> Column:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no language can be told (null text, no letter) go; the others stay as they are."""
     with common.scope(_fresh("language")):
-        packed = docs.select(_packed(docs), F.col("text").cast("string").alias("_text"))
-        return predict(packed, train(docs), "_text").where("lang_pred <> 'und'").select("_row.*")
+        common.small_batches(spark)
+        packed, text = docs.select(_packed(docs)), "_row.text"
+        if dict(docs.dtypes)["text"] != "string":
+            packed, text = docs.select(_packed(docs), F.col("text").cast("string").alias("_text")), "_text"
+        return predict(packed, train(docs), text).where("lang_pred <> 'und'").select("_row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
