@@ -22,7 +22,9 @@ from .common import LAST_ID, id_back, id_col, materialize, read, slot_filter
 
 #: White space as Unicode's White_Space property has it.
 SPACE = r"[\u0009-\u000D \u0085   -     　]+"
+#: About so many rows a block, and so many blocks at most: with more rows, blocks grow instead.
 ROWS_A_BLOCK = 4096
+BLOCKS = 1 << 16
 
 
 def canonical(text: Column) -> Column:
@@ -37,26 +39,44 @@ def bucket(canon: Column) -> Column:
     return F.concat(F.lower(F.lpad(F.hex(F.xxhash64(canon)), 16, "0")), F.lower(F.lpad(F.hex(F.xxhash64(F.lit("docgrid"), canon)), 16, "0")))
 
 
+def with_blocks(docs: DataFrame) -> DataFrame:
+    """``docs`` (_id, text) with _block, in the order of (_id, text): arrays of numbers that order as their blocks do.
+
+    A block of many rows is cut into ranges of equal width between its lowest and highest key, and those that still have
+    many again, so that ids far from the others, or crowded together, don't make a large block.  The key is the id; of
+    rows without an id the first seven bytes of the text.  Only blocks of one key stay large.  There are about as many
+    cuts as blocks, at most some BLOCKS, so their broadcast is bounded.
+    """
+    n, nulls = docs.agg(F.count("*"), F.coalesce(F.sum((F.col("_id") == LAST_ID).cast("long")), F.lit(0))).first()
+    most = max(ROWS_A_BLOCK, n // BLOCKS)
+    none = F.col("_id") == LAST_ID
+    # texts are read for their keys only if rows lack an id
+    start = F.conv(F.rpad(F.hex(F.substring(F.encode("text", "UTF-8"), 1, 7)), 14, "0"), 16, 10) if nulls else F.lit(0)
+    key = F.when(none, start.cast("decimal(20, 0)")).otherwise(F.col("_id").cast("decimal(20, 0)"))
+    docs = docs.withColumn("_key", key).withColumn("_block", F.array(none.cast("long")))
+    while True:
+        cut = docs.groupBy("_block").agg(F.count("*").alias("n"), F.min("_key").alias("_low"), F.max("_key").alias("_high")).where((F.col("n") > 2 * most) & (F.col("_low") < F.col("_high")))
+        width = F.floor((F.col("_high") - F.col("_low")) / F.ceil(F.col("n") / most)).cast("decimal(20, 0)") + 1
+        cut = materialize(cut.select("_block", "_low", width.cast("decimal(20, 0)").alias("_width")), "fp-cuts")
+        if cut.isEmpty():
+            return docs.drop("_key")
+        part = F.floor((F.col("_key") - F.col("_low")) / F.col("_width")).cast("long")
+        docs = docs.join(F.broadcast(cut), "_block", "left").withColumn("_block", F.when(F.col("_low").isNull(), F.col("_block")).otherwise(F.concat("_block", F.array(part)))).drop("_low", "_width")
+
+
 def successors(docs: DataFrame, digest=bucket) -> DataFrame:
     """_id, text, own and the same of the row that follows in order of (_id, text): next_id,
     next_text, next_own.
 
     Blocks of ids stand in for a global window: a lead inside each block, which is closed by a copy of
-    the first row of the next block that has any.  Blocks are ranges of ids of about equal width; ids
-    that crowd into one range make that block larger, never wrong.
+    the first row of the next block that has any.
     """
-    docs = docs.select(id_col().alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
-    real = docs.where(F.col("_id") != LAST_ID)
-    low, high, n = real.agg(F.min("_id"), F.max("_id"), F.count("*")).first()
-    low, high = low or 0, high or 0
-    width = max(1, (high - low + 1) * ROWS_A_BLOCK // max(1, n))
-    block = F.when(F.col("_id") == LAST_ID, F.lit((high - low) // width + 1)).otherwise(F.expr(f"(_id - {low}L) div {width}L"))
-    docs = docs.withColumn("_block", block.cast("long"))
+    docs = with_blocks(docs.select(id_col().alias("_id"), F.coalesce("text", F.lit("")).alias("text")))
     # the first row of each block, one for about ROWS_A_BLOCK documents, also closes the block before it
     firsts = materialize(docs.groupBy("_block").agg(F.min(F.struct("_id", "text")).alias("_first")).select("_block", "_first.*"), "fp-firsts")
     before = F.lag("_block").over(Window.orderBy("_block"))
-    last = firsts.agg(F.max("_block")).first()[0]
-    closing = firsts.select("_block").withColumn("_to", F.coalesce(before, F.lit(last)))
+    last = firsts.agg(F.max("_block")).first()[0] or [0]
+    closing = firsts.select("_block").withColumn("_to", F.coalesce(before, F.array(*[F.lit(x).cast("long") for x in last])))
     closing = firsts.join(closing, "_block").select("_id", "text", F.col("_to").alias("_block"), F.lit(True).alias("_closes"))
     rows = docs.withColumn("_closes", F.lit(False)).unionByName(closing).withColumn("own", digest(canonical(F.col("text"))))
     order = Window.partitionBy("_block").orderBy("_closes", "_id", "text")

@@ -324,6 +324,22 @@ def test_fingerprints_small(spark):
     assert len(twice) == 2 and {x.near_next for x in twice} == {1.0}
 
 
+def test_fingerprint_blocks_of_far_ids(spark, monkeypatch):
+    """One id far from all others, ids below zero, and many rows without an id: blocks stay small, and in order."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(fingerprint, "ROWS_A_BLOCK", 8)
+    ids = [*range(300), 1 << 62, -(1 << 63), *[10**6 + i // 2 for i in range(100)]]
+    rows = [(i, f"text {i}", None, None, 0) for i in ids] + [(None, f"{'abcdefgh'[i % 8]}{i}", None, None, 0) for i in range(200)]
+    docs = frame(spark, rows).select(common.id_col().alias("_id"), "text")
+    told = fingerprint.with_blocks(docs).groupBy("_block").agg(F.count("*").alias("n"), F.min(F.struct("_id", "text")).alias("low"), F.max(F.struct("_id", "text")).alias("high")).orderBy("_block").collect()
+    assert sum(x.n for x in told) == len(rows) and max(x.n for x in told) <= 16
+    assert all(a.high <= b.low for a, b in zip(told, told[1:]))
+    got = {(x._id, x.text): x.next_text for x in fingerprint.successors(docs.withColumnRenamed("_id", "doc_id")).collect()}
+    order = sorted((common.LAST_ID if d is None else d, t) for d, t, *_ in rows)
+    assert got == {x: order[(k + 1) % len(order)][1] for k, x in enumerate(order)}
+
+
 # -- all ----------------------------------------------------------------------------------------
 
 
