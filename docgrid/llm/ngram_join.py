@@ -373,15 +373,14 @@ def best_partner(pairs: DataFrame) -> DataFrame:
 
 
 def rest_pairs(mixed: DataFrame, few: DataFrame, base: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What may link through ``mixed``: the large keys (key, doc, comp) that hold several components.
+    """What may link through ``mixed``: the large keys (key, doc, comp, size) that hold several components.
     A pair has to share ``need`` keys.  Either some of them are small - then it is in ``few`` - and its
     two documents must have enough large ones for the rest: these pairs come first.  Or all are large, and then
     it shares one that isn't among the need - 1 most common of either document: these (key, doc, comp, n)
     come second."""
     tops = sorted({n for k in range(1, 12) for n in ((1 << k) - 1, ((1 << k) - 1) * 5 // 4)})
     lowest = F.expr("case " + " ".join(f"when n <= {top} then {overlap(lowest_band(top))}" for top in tops) + f" else {overlap(99)} end")
-    counts = mixed.groupBy("key").agg(F.count("*").alias("size"))
-    rows = mixed.select("key", "doc", "comp").join(counts, "key").join(base.select("doc", "n", lowest.alias("need")), "doc")
+    rows = mixed.select("key", "doc", "comp", "size").join(base.select("doc", "n", lowest.alias("need")), "doc")
     by_doc = Window.partitionBy("doc")
     rows = rows.withColumn("have", F.count("*").over(by_doc)).withColumn("rank", F.row_number().over(by_doc.orderBy("size", "key")))
     rows = materialize(rows, "ngram-rest")
@@ -472,14 +471,19 @@ def linked(docs: DataFrame) -> DataFrame:
     tested = near(pairs)
     links = exact(tested)
     copies = reps.where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
+    fresh = True
     for rest in (False, True, None):
-        labels = components(links.unionAll(copies))
-        comp = materialize(reps.join(labels, reps["rep"] == labels["node"], "left").select("doc", "rep", F.coalesce("component", "rep").alias("comp")), "ngram-comp")
+        if fresh:  # else no link was added, and components and keys are as they were
+            labels = components(links.unionAll(copies))
+            comp = materialize(reps.join(labels, reps["rep"] == labels["node"], "left").select("doc", "rep", F.coalesce("component", "rep").alias("comp")), "ngram-comp")
         if rest is None:
             break
-        shared = shared.select("key", "doc").join(comp, "doc").select("key", "doc", "comp")
-        mixed = shared.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-        shared = materialize(shared.join(mixed, "key").select("key", "doc", "comp", "low"), "ngram-mixed")
+        if fresh:
+            shared = shared.select("key", "doc").join(comp, "doc").select("key", "doc", "comp")
+            least = F.min(F.struct("comp", "doc")).alias("least")
+            mixed = shared.groupBy("key").agg(least, F.max("comp").alias("high"), F.count("*").alias("size")).where("least.comp <> high")
+            mixed = shared.join(mixed, "key").select("key", "doc", "comp", "size", F.col("least.comp").alias("low"), F.col("least.doc").alias("head"))
+            shared = materialize(mixed, "ngram-mixed")
         if shared.isEmpty():
             break
         if rest:
@@ -487,10 +491,10 @@ def linked(docs: DataFrame) -> DataFrame:
             pairs = near(through).union(near_within(rows, of))
         else:
             # against a document of the key's smallest component
-            heads = shared.where("comp = low").groupBy("key").agg(F.min("doc").alias("a"))
-            pairs = near(best_partner(shared.where("comp <> low").join(heads, "key").select("a", F.col("doc").alias("b"))))
+            pairs = near(best_partner(shared.where("comp <> low").select(F.col("head").alias("a"), F.col("doc").alias("b"))))
         now = materialize(ordered(pairs).join(tested, ["a", "b"], "left_anti"), "ngram-untested")
-        tested, links = tested.unionAll(now), links.unionAll(exact(now))
+        more = exact(now)
+        tested, links, fresh = tested.unionAll(now), links.unionAll(more), not more.isEmpty()
     return base.select("doc", "n").join(comp.select("doc", "comp").distinct(), "doc", "left").select("doc", "n", F.coalesce("comp", "doc").alias("comp"))
 
 
