@@ -372,15 +372,15 @@ def best_partner(pairs: DataFrame) -> DataFrame:
     return counted.groupBy("b").agg(F.max(F.struct("_n", -F.col("a"))).alias("_m")).select((-F.col("_m.col2")).alias("a"), "b")
 
 
-def rest_pairs(mixed: DataFrame, few: DataFrame, base: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What may link through ``mixed``: the large keys (key, doc, comp, size) that hold several components.
+def rest_pairs(mixed: DataFrame, few: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What may link through ``mixed``: the large keys (key, doc, comp, n, size) that hold several components.
     A pair has to share ``need`` keys.  Either some of them are small - then it is in ``few`` - and its
     two documents must have enough large ones for the rest: these pairs come first.  Or all are large, and then
     it shares one that isn't among the need - 1 most common of either document: these (key, doc, comp, n)
     come second."""
     tops = sorted({n for k in range(1, 12) for n in ((1 << k) - 1, ((1 << k) - 1) * 5 // 4)})
     lowest = F.expr("case " + " ".join(f"when n <= {top} then {overlap(lowest_band(top))}" for top in tops) + f" else {overlap(99)} end")
-    rows = mixed.select("key", "doc", "comp", "size").join(base.select("doc", "n", lowest.alias("need")), "doc")
+    rows = mixed.select("key", "doc", "comp", "n", "size", lowest.alias("need"))
     by_doc = Window.partitionBy("doc")
     rows = rows.withColumn("have", F.count("*").over(by_doc)).withColumn("rank", F.row_number().over(by_doc.orderBy("size", "key")))
     rows = materialize(rows, "ngram-rest")
@@ -449,7 +449,7 @@ def linked(docs: DataFrame) -> DataFrame:
     profiles = profile(docs)
     groups = profiles.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc").alias("rep"))
     base = materialize(profiles.join(groups, ["h1", "h2", "n"], "left").select("doc", "n", "rep", "sketch"), "ngram-base")
-    reps = base.where("n > 0").select("doc", "rep")
+    reps = base.where("n > 0").select("doc", "rep", "n")
     of = base.where("doc = rep")
     found = materialize(candidates(rare_keys(shared_keys(emit_keys(representatives(docs, base))))), "ngram-candidates")
     shared = found.where("key is not null").select("key", F.col("a").alias("doc"), F.col("b").alias("first"))
@@ -475,19 +475,26 @@ def linked(docs: DataFrame) -> DataFrame:
     for rest in (False, True, None):
         if fresh:  # else no link was added, and components and keys are as they were
             labels = components(links.unionAll(copies))
-            comp = materialize(reps.join(labels, reps["rep"] == labels["node"], "left").select("doc", "rep", F.coalesce("component", "rep").alias("comp")), "ngram-comp")
+            comp = materialize(reps.join(labels, reps["rep"] == labels["node"], "left").select("doc", "rep", "n", F.coalesce("component", "rep").alias("comp")), "ngram-comp")
         if rest is None:
             break
         if fresh:
-            shared = shared.select("key", "doc").join(comp, "doc").select("key", "doc", "comp")
-            least = F.min(F.struct("comp", "doc")).alias("least")
-            mixed = shared.groupBy("key").agg(least, F.max("comp").alias("high"), F.count("*").alias("size")).where("least.comp <> high")
-            mixed = shared.join(mixed, "key").select("key", "doc", "comp", "size", F.col("least.comp").alias("low"), F.col("least.doc").alias("head"))
+            # a key holds several components if one of its documents is in another one than its first: seen by the
+            # pairs of document and first, of which there are far fewer than rows, and only such keys are read on
+            label = comp.where("doc = rep").select("doc", "comp", "n").distinct()
+            both = shared.select("doc", "first").distinct().join(label, "doc")
+            both = both.join(label.select(F.col("doc").alias("first"), F.col("comp").alias("other")), "first")
+            apart = both.where("comp <> other").select("doc", "first")
+            keys = shared.join(apart, ["doc", "first"]).select("key").distinct()
+            rows = shared.select("key", "doc", "first").join(keys, "key", "left_semi").join(label, "doc")
+            rows = materialize(rows.select("key", "doc", "first", "comp", "n"), "ngram-rows-mixed")
+            least = rows.groupBy("key").agg(F.min(F.struct("comp", "doc")).alias("least"), F.count("*").alias("size"))
+            mixed = rows.join(least, "key").select(*rows.columns, "size", F.col("least.comp").alias("low"), F.col("least.doc").alias("head"))
             shared = materialize(mixed, "ngram-mixed")
         if shared.isEmpty():
             break
         if rest:
-            through, rows = rest_pairs(shared, few, of)
+            through, rows = rest_pairs(shared, few)
             pairs = near(through).union(near_within(rows, of))
         else:
             # against a document of the key's smallest component
