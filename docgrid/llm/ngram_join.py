@@ -390,13 +390,19 @@ def rest_pairs(mixed: DataFrame, few: DataFrame) -> tuple[DataFrame, DataFrame]:
     return through, rows.where("rank <= have - need + 1").select("key", "doc", "comp", "n")
 
 
-def near_within(rows: DataFrame, base: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b) of one key and different components that pass the bounds on size and sketches.  They are
-    compared inside the task and only those that pass leave it.  A key of more than ``block`` documents is dealt as
-    pairs of its blocks, so a task never holds more than two."""
+def with_sketches(rows: DataFrame, base: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``rows`` (key, doc, comp, n) with sketch, block of the key (``at``) and the key's last block (``last``)."""
     order = Window.partitionBy("key").orderBy("doc")
     rows = rows.withColumn("at", F.expr(f"(row_number() over (partition by key order by doc) - 1) div {block}")).withColumn("last", F.max("at").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    rows = rows.join(base.select("doc", "sketch"), "doc").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
+    return materialize(rows.join(base.select("doc", "sketch"), "doc").select("key", "doc", "comp", "n", "at", "last", "sketch"), "ngram-sketched")
+
+
+def near_within(rows: DataFrame, nearest: bool = False) -> DataFrame:
+    """Pairs (a, b) of one key and different components that pass the bounds on size and sketches; ``nearest``:
+    only each document's closest one.  ``rows`` are those of :func:`with_sketches`.  They are compared inside the task
+    and only pairs that pass leave it.  A key of several blocks is dealt as pairs of them, so a task never holds more
+    than two."""
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
     rows = rows.select(F.xxhash64("key", F.least("at", "other"), F.greatest("at", "other")).alias("cell"), "key", F.least("at", "other").alias("x"), F.greatest("at", "other").alias("y"), "doc", "comp", "n", "sketch")
 
     def compare(doc: np.ndarray, comp: np.ndarray, n: np.ndarray, sketch: list[bytes]) -> list[np.ndarray]:
@@ -410,11 +416,22 @@ def near_within(rows: DataFrame, base: DataFrame, block: int = BLOCK) -> DataFra
         order = np.argsort(n, kind="stable")
         doc, comp, n, bits = doc[order], comp[order], n[order], bits[order]
         stop = np.searchsorted(n * PERCENT, n * 100, side="right")  # sizes that fit
+        closest, partner = np.full(len(n), np.inf), np.zeros(len(n), np.int64)
         for i in range(len(n) - 1):
             j = slice(i + 1, stop[i])
             far = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
             ok = np.flatnonzero((far * (100 + PERCENT) <= (n[j] + n[i]) * (100 - PERCENT)) & (comp[j] != comp[i])) + i + 1
-            found += [np.stack([np.full(len(ok), doc[i]), doc[ok]])] if len(ok) else []
+            if nearest and len(ok):
+                gap = far[ok - i - 1] / (n[ok] + n[i])
+                closer = gap < closest[ok]
+                closest[ok[closer]], partner[ok[closer]] = gap[closer], i
+                if gap.min() < closest[i]:
+                    closest[i], partner[i] = gap.min(), ok[gap.argmin()]
+            elif len(ok):
+                found.append(np.stack([np.full(len(ok), doc[i]), doc[ok]]))
+        if nearest:
+            have = np.flatnonzero(np.isfinite(closest))
+            found += [np.stack([doc[have], doc[partner[have]]])] if len(have) else []
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -444,6 +461,20 @@ def near_within(rows: DataFrame, base: DataFrame, block: int = BLOCK) -> DataFra
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def relabelled(rows: DataFrame, changed: DataFrame) -> DataFrame:
+    """``rows`` with ``comp`` as ``changed`` (node, component) says."""
+    told = rows.join(changed, F.col("comp") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "comp"))
+    return told.select(*rows.columns)
+
+
+def mixed_keys(rows: DataFrame) -> DataFrame:
+    """Of ``rows`` (key, doc, comp, n) the keys of several components, with their size, their smallest component
+    (``low``) and a document of it (``head``)."""
+    told = rows.groupBy("key").agg(F.min(F.struct("comp", "doc")).alias("least"), F.max("comp").alias("high"), F.count("*").alias("size"))
+    told = told.where("least.comp <> high").select("key", "size", F.col("least.comp").alias("low"), F.col("least.doc").alias("head"))
+    return materialize(rows.join(told, "key").select(*rows.columns, "size", "low", "head"), "ngram-mixed")
+
+
 def linked(docs: DataFrame) -> DataFrame:
     """``docs``: doc, text.  doc, n, comp of every row: components of the links, by one of their docs."""
     profiles = profile(docs)
@@ -471,37 +502,44 @@ def linked(docs: DataFrame) -> DataFrame:
     tested = near(pairs)
     links = exact(tested)
     copies = reps.where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
-    fresh = True
-    for rest in (False, True, None):
-        if fresh:  # else no link was added, and components and keys are as they were
-            labels = components(links.unionAll(copies))
-            comp = materialize(reps.join(labels, reps["rep"] == labels["node"], "left").select("doc", "rep", "n", F.coalesce("component", "rep").alias("comp")), "ngram-comp")
-        if rest is None:
-            break
-        if fresh:
-            # a key holds several components if one of its documents is in another one than its first: seen by the
-            # pairs of document and first, of which there are far fewer than rows, and only such keys are read on
-            label = comp.where("doc = rep").select("doc", "comp", "n").distinct()
-            both = shared.select("doc", "first").distinct().join(label, "doc")
-            both = both.join(label.select(F.col("doc").alias("first"), F.col("comp").alias("other")), "first")
-            apart = both.where("comp <> other").select("doc", "first")
-            keys = shared.join(apart, ["doc", "first"]).select("key").distinct()
-            rows = shared.select("key", "doc", "first").join(keys, "key", "left_semi").join(label, "doc")
-            rows = materialize(rows.select("key", "doc", "first", "comp", "n"), "ngram-rows-mixed")
-            least = rows.groupBy("key").agg(F.min(F.struct("comp", "doc")).alias("least"), F.count("*").alias("size"))
-            mixed = rows.join(least, "key").select(*rows.columns, "size", F.col("least.comp").alias("low"), F.col("least.doc").alias("head"))
-            shared = materialize(mixed, "ngram-mixed")
-        if shared.isEmpty():
-            break
-        if rest:
-            through, rows = rest_pairs(shared, few)
-            pairs = near(through).union(near_within(rows, of))
-        else:
-            # against a document of the key's smallest component
-            pairs = near(best_partner(shared.where("comp <> low").select(F.col("head").alias("a"), F.col("doc").alias("b"))))
+    labels = components(links.unionAll(copies))
+    comp = materialize(reps.join(labels, reps["rep"] == labels["node"], "left").select("doc", "rep", "n", F.coalesce("component", "rep").alias("comp")), "ngram-comp")
+
+    def add(pairs: DataFrame) -> DataFrame | None:
+        """Tests the pairs that weren't yet; (node, component) of the components that their links change, or none."""
+        nonlocal tested, comp
         now = materialize(ordered(pairs).join(tested, ["a", "b"], "left_anti"), "ngram-untested")
-        more = exact(now)
-        tested, links, fresh = tested.unionAll(now), links.unionAll(more), not more.isEmpty()
+        more, tested = exact(now), tested.unionAll(now)
+        label = comp.where("doc = rep").select("doc", "comp").distinct()
+        edges = more.join(label, F.col("a") == F.col("doc")).select("b", F.col("comp").alias("to"))
+        edges = edges.join(label, F.col("b") == F.col("doc")).select(F.col("to").alias("a"), F.col("comp").alias("b"))
+        changed = components(edges.where("a <> b")).where("node <> component")
+        if changed.isEmpty():
+            return None
+        comp = materialize(relabelled(comp, changed), "ngram-comp")
+        return changed
+
+    # a key holds several components if one of its documents is in another one than its first: seen by the
+    # pairs of document and first, of which there are far fewer than rows, and only such keys are read on
+    label = comp.where("doc = rep").select("doc", "comp", "n").distinct()
+    both = shared.select("doc", "first").distinct().join(label, "doc")
+    both = both.join(label.select(F.col("doc").alias("first"), F.col("comp").alias("other")), "first")
+    apart = both.where("comp <> other").select("doc", "first")
+    keys = shared.join(apart, ["doc", "first"]).select("key").distinct()
+    rows = shared.join(keys, "key", "left_semi").join(label, "doc").select("key", "doc", "comp", "n")
+    mixed = mixed_keys(materialize(rows, "ngram-rows-mixed"))
+    if not mixed.isEmpty():
+        # against a document of the key's smallest component
+        changed = add(near(best_partner(mixed.where("comp <> low").select(F.col("head").alias("a"), F.col("doc").alias("b")))))
+        if changed:
+            mixed = mixed_keys(materialize(relabelled(mixed.select("key", "doc", "comp", "n"), changed), "ngram-rows-mixed"))
+        through, rows = rest_pairs(mixed, few)
+        rows = with_sketches(rows, of)
+        # against the closest one, so that a group of near copies is one component before its pairs are listed
+        changed = add(near(through).union(near_within(rows, nearest=True)))
+        if changed:
+            rows = relabelled(rows, changed)
+        add(near_within(rows))
     return base.select("doc", "n").join(comp.select("doc", "comp").distinct(), "doc", "left").select("doc", "n", F.coalesce("comp", "doc").alias("comp"))
 
 

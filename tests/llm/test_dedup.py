@@ -63,7 +63,7 @@ def test_near_duplicates_chain_and_blocks(spark, monkeypatch):
         base[(7 * i) % 120] = f"edit{i}"
     rows += [(200 + i, " ".join(words(r, 40) + base[:60]), "en", "a", 0) for i in range(30)]
     monkeypatch.setattr(ngram_join, "FEW", 2)
-    monkeypatch.setattr(ngram_join.near_within, "__defaults__", (2,))
+    monkeypatch.setattr(ngram_join.with_sketches, "__defaults__", (2,))
     assert {tuple(x) for x in ngram_join.near_duplicates(frame(spark, rows)).collect()} == brute_components(rows)
 
 
