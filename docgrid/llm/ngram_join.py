@@ -505,23 +505,24 @@ def linked(docs: DataFrame) -> DataFrame:
     labels = components(links.unionAll(copies))
     comp = materialize(reps.join(labels, reps["rep"] == labels["node"], "left").select("doc", "rep", "n", F.coalesce("component", "rep").alias("comp")), "ngram-comp")
 
-    def add(pairs: DataFrame) -> DataFrame | None:
-        """Tests the pairs that weren't yet; (node, component) of the components that their links change, or none."""
-        nonlocal tested, comp
+    label = comp.where("doc = rep").select("doc", "comp", "n").distinct()
+    edges = changed = None  # between the components so far, and what becomes of those
+
+    def add(pairs: DataFrame) -> bool:
+        """Tests the pairs that weren't yet; ``changed`` says what their links make of the components."""
+        nonlocal tested, edges, changed
         now = materialize(ordered(pairs).join(tested, ["a", "b"], "left_anti"), "ngram-untested")
         more, tested = exact(now), tested.unionAll(now)
-        label = comp.where("doc = rep").select("doc", "comp").distinct()
-        edges = more.join(label, F.col("a") == F.col("doc")).select("b", F.col("comp").alias("to"))
-        edges = edges.join(label, F.col("b") == F.col("doc")).select(F.col("to").alias("a"), F.col("comp").alias("b"))
-        changed = components(edges.where("a <> b")).where("node <> component")
-        if changed.isEmpty():
-            return None
-        comp = materialize(relabelled(comp, changed), "ngram-comp")
-        return changed
+        if more.isEmpty():
+            return False
+        ends = more.join(label, F.col("a") == F.col("doc")).select("b", F.col("comp").alias("to"))
+        ends = ends.join(label, F.col("b") == F.col("doc")).select(F.col("to").alias("a"), F.col("comp").alias("b"))
+        edges = ends if edges is None else edges.unionAll(ends)
+        changed = components(edges).where("node <> component")
+        return True
 
     # a key holds several components if one of its documents is in another one than its first: seen by the
     # pairs of document and first, of which there are far fewer than rows, and only such keys are read on
-    label = comp.where("doc = rep").select("doc", "comp", "n").distinct()
     both = shared.select("doc", "first").distinct().join(label, "doc")
     both = both.join(label.select(F.col("doc").alias("first"), F.col("comp").alias("other")), "first")
     apart = both.where("comp <> other").select("doc", "first")
@@ -530,16 +531,16 @@ def linked(docs: DataFrame) -> DataFrame:
     mixed = mixed_keys(materialize(rows, "ngram-rows-mixed"))
     if not mixed.isEmpty():
         # against a document of the key's smallest component
-        changed = add(near(best_partner(mixed.where("comp <> low").select(F.col("head").alias("a"), F.col("doc").alias("b")))))
-        if changed:
+        if add(near(best_partner(mixed.where("comp <> low").select(F.col("head").alias("a"), F.col("doc").alias("b"))))):
             mixed = mixed_keys(materialize(relabelled(mixed.select("key", "doc", "comp", "n"), changed), "ngram-rows-mixed"))
         through, rows = rest_pairs(mixed, few)
         rows = with_sketches(rows, of)
         # against the closest one, so that a group of near copies is one component before its pairs are listed
-        changed = add(near(through).union(near_within(rows, nearest=True)))
-        if changed:
+        if add(near(through).union(near_within(rows, nearest=True))):
             rows = relabelled(rows, changed)
         add(near_within(rows))
+    if changed is not None:
+        comp = relabelled(comp, changed)
     return base.select("doc", "n").join(comp.select("doc", "comp").distinct(), "doc", "left").select("doc", "n", F.coalesce("comp", "doc").alias("comp"))
 
 
