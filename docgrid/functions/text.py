@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from .numeric import strip
-from .vocabulary import CONTINUES, HEADING, INJECTION, SENTENCE_CLOSE, SENTENCE_END, SUPPORTED_SUFFIXES
+from .vocabulary import CONTINUES, HEADING, INJECTION, SENTENCE_CLOSE, SENTENCE_END, SUPPORTED_SUFFIXES, UNICODE
 
 RSTRIP, LSTRIP = r"(?U)\s+$", r"(?U)^\s+"
 
@@ -31,7 +31,7 @@ def continues(a: Column, b: Column) -> Column:
     """Whether text ``b`` goes on where text ``a`` stops."""
     end, begin = last_char(a), first_char(b)
     ended = _among(end, SENTENCE_END + SENTENCE_CLOSE)
-    heading = F.regexp_replace(b, LSTRIP, "").rlike(HEADING)
+    heading = F.regexp_replace(b, LSTRIP, "").rlike(UNICODE + HEADING)
     last_word = F.regexp_extract(F.regexp_replace(a, RSTRIP, ""), r"(?U)(\S+)$", 1)
     torn = (F.length(last_word) <= 2) & F.right(last_word, F.lit(1)).rlike(r"^\p{L}$")
     goes_on = begin.rlike(r"^(\p{Ll}|\p{Nd})$") | (F.ascii(begin) > 0x4E00)

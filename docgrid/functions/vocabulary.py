@@ -1,4 +1,9 @@
-"""Word lists, numerals, patterns and thresholds that results depend on."""
+"""Word lists, numerals, patterns and thresholds that results depend on.
+
+Patterns read digits and white space of any script; Java's take ``UNICODE`` in front for that, Python's do so anyway.
+"""
+
+UNICODE = "(?U)"
 
 # Digits and units of Chinese numerals.
 CN_DIGITS = {
@@ -13,8 +18,8 @@ CN_UNITS = {
 # Cells that stand for no number; units; the number itself.
 NO_NUMBER = ("—", "-", "–", "N/A", "n/a", "无", "/", ".")
 UNIT = r"(万亿元|万元|亿元|万|亿|元|％|%)"
-NUMBER = r"[−\-]?\s*[0-9,]+(?:\.[0-9]+)?"
-PLAIN_AMOUNT = r"^[−\-]?[0-9,.\s]*(万亿元|万元|亿元|万|亿|元)?\s*[％%]?$"
+NUMBER = r"[−\-]?\s*[\d,]+(?:\.\d+)?"
+PLAIN_AMOUNT = r"^[−\-]?[\d,.\s]*(万亿元|万元|亿元|万|亿|元)?\s*[％%]?$"
 LABEL_PREFIX = ("项目", "科目", "指标")
 GROWTH_WORDS = ("同比", "环比", "增长")
 
@@ -41,18 +46,18 @@ HEADER_WORDS = (
     "项目", "类别", "名称", "合计", "小计", "序号", "编号", "类型", "内容", "备注", "说明", "单位", "日期", "金额", "数量", "比率",
     "年度", "本期", "上期",
 )
-NUMERIC_CELL = r"^[+-]?[0-9.]+[%％]?$|^[0-9.]+[万亿]?(?:元|万元|亿元|美元|港币)?$"
+NUMERIC_CELL = r"^[+-]?[\d.]+[%％]?$|^[\d.]+[万亿]?(?:元|万元|亿元|美元|港币)?$"
 SENTENCE_END = "。！？；：…\n.!?;:"
 SENTENCE_CLOSE = "）)】》」』\"'"
 CONTINUES = "而并且或以及此外同时另"
-HEADING = r"^[#0-9]+[.、]"
+HEADING = r"^[#\d]+[.、]"
 
 # Entities by category, in order.
 ENTITIES = (
     ("company", r"([一-鿿]+(?:有限公司|股份|集团|公司|企业|事务所|研究院|研究所|中心|基金))"),
-    ("money", r"([0-9,，.]+\s*(?:万元|亿元|元|万|亿|人民币|美元|港币|欧元|日元|英镑))"),
-    ("percentage", r"([0-9.]+%|百分之[0-9.]+)"),
-    ("date", r"([0-9]{4}\s*年\s*[0-9]{1,2}\s*月\s*[0-9]{1,2}\s*日|[0-9]{4}\s*年\s*[0-9]{1,2}\s*月|[0-9]{4}\s*[-/]\s*[0-9]{1,2}\s*[-/]\s*[0-9]{1,2})"),
+    ("money", r"([\d,，.]+\s*(?:万元|亿元|元|万|亿|人民币|美元|港币|欧元|日元|英镑))"),
+    ("percentage", r"([\d.]+%|百分之[\d.]+)"),
+    ("date", r"(\d{4}\s*年\s*\d{1,2}\s*月\s*\d{1,2}\s*日|\d{4}\s*年\s*\d{1,2}\s*月|\d{4}\s*[-/]\s*\d{1,2}\s*[-/]\s*\d{1,2})"),
     ("project", r"((?:[一-鿿]+)?(?:项目|工程|计划|方案|课题)[一-鿿]*)"),
     ("person", r"((?:Mr|Mrs|Ms|Dr|Prof)\.?\s+[A-Z][a-z]+|[一-鿿]{2,4}(?:先生|女士|教授|博士|总|经理|主任))"),
 )

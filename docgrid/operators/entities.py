@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions.numeric import strip
-from ..functions.vocabulary import ENTITIES, GENERIC_REFERENCE, REFERENCE_RULES, REFERENCES
+from ..functions.vocabulary import ENTITIES, GENERIC_REFERENCE, REFERENCE_RULES, REFERENCES, UNICODE
 
 
 def block_text(type_: Column, text: Column, data: Column, alt: Column | None = None, markdown: Column | None = None) -> Column:
@@ -38,7 +38,7 @@ def entity_mentions(blocks: DataFrame) -> DataFrame:
 
     def matches(rank: int, category: str, pattern: str) -> Column:
         named = lambda x, i: F.struct(F.lit(category).alias("category"), F.lit(rank).alias("rank"), i.alias("ord"), strip(x).alias("text"))
-        return F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), named)
+        return F.transform(F.regexp_extract_all("text", F.lit(UNICODE + pattern), F.lit(1)), named)
 
     arrays = [matches(k, *entity) for k, entity in enumerate(ENTITIES)]
     told = blocks.select("doc_id", "pos", "page_idx", F.explode(F.concat(*arrays)).alias("e")).select("doc_id", "pos", "page_idx", "e.*")

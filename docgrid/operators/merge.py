@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.grid import grid_to_markdown, markdown_rows, width
 from ..functions.numeric import strip
 from ..functions.text import continues, join_char, similarity
-from ..functions.vocabulary import HEADER_WORDS, NUMERIC_CELL
+from ..functions.vocabulary import HEADER_WORDS, NUMERIC_CELL, UNICODE
 
 
 def payload(*sources: Column, markdown: Column | None = None) -> Column:
@@ -35,7 +35,7 @@ def header_like(row: Column) -> Column:
 
 def profile(rows: Column) -> Column:
     """Per column the share of numeric cells."""
-    numeric = lambda c: F.regexp_replace(strip(c), "[,，]", "").rlike(NUMERIC_CELL)
+    numeric = lambda c: F.regexp_replace(strip(c), "[,，]", "").rlike(UNICODE + NUMERIC_CELL)
 
     def share(i: Column) -> Column:
         cells = F.filter(F.transform(rows, lambda r: F.get(r, i)), lambda c: c.isNotNull())

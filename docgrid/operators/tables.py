@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.grid import grid_to_csv, grid_to_markdown, html_to_grid, markdown_to_grid, merged_ranges, text_to_grid, width
 from ..functions.let import let, let_all
 from ..functions.numeric import extract_numeric, strip
-from ..functions.vocabulary import FINANCE_WORDS, GROWTH_WORDS, LABEL_PREFIX, PLAIN_AMOUNT, TABLE_WORDS
-
+from ..functions.vocabulary import FINANCE_WORDS, GROWTH_WORDS, LABEL_PREFIX, PLAIN_AMOUNT, TABLE_WORDS, UNICODE
 
 
 def numeric_grid(grid: Column, mode: str = "as_coded") -> Column:
@@ -143,7 +142,7 @@ def cell_confidence(rows: Column, nums: Column, failed: Column, odd: Column) ->
     def cell(text: Column, conf: Column, i: Column, j: Column) -> Column:
         empty, poor = strip(text) == "", conf < 1.0
         flagged, row_failed = F.array_contains(odd, F.struct(i.alias("row"), j.alias("col"))), F.array_contains(failed, i)
-        mixed = text.rlike("[一-鿿]") & text.rlike("[0-9]") & ~strip(text).rlike(PLAIN_AMOUNT)
+        mixed = text.rlike("[一-鿿]") & text.rlike("[0-9]") & ~strip(text).rlike(UNICODE + PLAIN_AMOUNT)
         rate = F.when(poor, conf).otherwise(F.lit(1.0)) * F.when(flagged, 0.6).otherwise(1.0) * F.when(row_failed, 0.85).otherwise(1.0) * F.when(mixed, 0.9).otherwise(1.0)
         reason = F.when(empty, "empty_cell").when(flagged, "anomaly_flagged").when(poor, "numeric_parse_issue").when(row_failed, "row_sum_failed").when(mixed, "mixed_script").otherwise("")
         return F.struct(i.alias("row"), j.alias("col"), F.round(F.when(empty, F.lit(0.7)).otherwise(rate), 3).alias("score"), reason.alias("reason"))

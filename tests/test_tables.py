@@ -32,6 +32,11 @@ NUMBERS = {
     "营业收入": (None, "", False, False, 0.2),
     "2024年": (2024.0, "", False, False, 1.0),
     ",": (None, "", False, False, 0.2),
+    "１２３元": (123.0, "元", False, False, 1.0),
+    "\u3000(٣,٤٥٦.７)\xa0": (-3456.7, "", True, False, 1.0),
+    "- 5": (5.0, "", True, False, 1.0),
+    "-\t5": (None, "", False, False, 0.2),
+    "-\xa05": (None, "", False, False, 0.2),
 }
 
 
