@@ -97,9 +97,10 @@ def resolve_references(blocks: DataFrame, registry: DataFrame | None = None, win
     refs = refs.select("doc_id", "pos", "page_idx", "r.*", F.substring("whole", start + 1, F.col("r.at") + window - start).alias("context"))
     rank = F.create_map(*[x for i, (c, _) in enumerate(ENTITIES) for x in (F.lit(c), F.lit(i))])
     # categories in the order of their first mention, as a registry that is filled block by block has them
-    seen = registry.groupBy("doc_id", "category").agg(F.min(F.struct("pos", rank[F.col("category")])).alias("first"))
-    told = registry.join(seen, ["doc_id", "category"]).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first", "ord", "category", "text"))).alias("known"))
-    joined = refs.join(told, "doc_id", "left").withColumn("rule", reference_rule(F.col("reference")))
+    seen = F.min(F.struct("pos", rank[F.col("category")])).over(Window.partitionBy("doc_id", "category"))
+    told = registry.withColumn("first", seen).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first", "ord", "category", "text"))).alias("known"))
+    # shuffled whatever size Spark expects: that of the file, not of the entities in its texts, which a broadcast gathers on the driver
+    joined = refs.join(told.hint("merge"), "doc_id", "left").withColumn("rule", reference_rule(F.col("reference")))
     of_kind = F.filter(F.coalesce("known", F.array().cast(told.schema["known"].dataType)), lambda e: e["category"] == F.col("rule.category"))
     names = lambda c: F.transform(c, lambda e: e["text"])
     by_rule = F.coalesce(F.size(of_kind) > 0, F.lit(False))

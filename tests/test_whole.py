@@ -88,3 +88,12 @@ def test_entities_and_references_of_all_blocks(spark, tmp_path):
     got = sorted((r.doc_id, r.pos, r.reference, r.resolved_entity, r.confidence, r.method) for r in out)
     assert got == sorted((d, *x) for d, blocks in docs.items() for x in brute_references(blocks))
     assert {r.pos for r in out} == {0, 1}
+
+
+def test_references_and_entities_meet_without_broadcast(spark, tmp_path):
+    """Neither side may be gathered on the driver, even where Spark takes it for small."""
+    spark.createDataFrame([(k, 10.0 * k) for k in range(1, 50)], "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    out = queries.QUERIES["reference_resolution"](spark, str(tmp_path))
+    planned = out._jdf.queryExecution().executedPlan().toString()
+    assert len(out.collect()) == 3 * 49
+    assert "Broadcast" not in planned + out._jdf.queryExecution().executedPlan().toString()
