@@ -115,7 +115,8 @@ def percentage_checks(rows: Column, nums: Column) -> Column:
 
 
 def anomaly_flags(nums: Column) -> Column:
-    """Values five deviations from the mean of all; else values of the rarer sign that aren't small."""
+    """Values five deviations from the mean of all; else values of the rarer sign that aren't small.  ``z_score`` has two
+    places, ``deviations`` is the same unrounded, for callers that want other places: rounding twice moves x.x45 up."""
     cells = F.flatten(F.transform(nums, lambda r, i: F.transform(r, lambda c, j: F.struct(i.alias("row"), j.alias("col"), F.when(~c["is_percentage"], c["value"]).alias("value")))))
 
     def with_mean(cells: Column) -> Column:
@@ -129,7 +130,8 @@ def anomaly_flags(nums: Column) -> Column:
         def flag(c: Column, z: Column) -> Column:
             rare = F.when(neg < pos, c["value"] < 0).otherwise(c["value"] > 0) & (pos > 0) & (neg > 0) & (F.abs(c["value"]) > F.abs(mean) * 0.1)
             reason = F.when(z > 5, "extreme_value").when(rare, "sign_mismatch")
-            return F.struct(c["row"].alias("row"), c["col"].alias("col"), c["value"].alias("value"), F.when(z > 5, F.round(z, 2)).alias("z_score"), reason.alias("reason"))
+            far = F.when(z > 5, z)
+            return F.struct(c["row"].alias("row"), c["col"].alias("col"), c["value"].alias("value"), F.round(far, 2).alias("z_score"), reason.alias("reason"), far.alias("deviations"))
 
         return F.filter(F.transform(cells, lambda c: let(F.abs(c["value"] - mean) / std, lambda z: flag(c, z))), lambda f: f["reason"].isNotNull())
 

@@ -204,9 +204,9 @@ SELECT c_nationkey, abs(v) AS value, round(abs(abs(v) - m) / d, 1) AS z_score FR
 def anomaly_zscore(t):
     """A4: values five deviations off."""
     v = F.round(F.when(F.col("c_custkey") % 250 == 0, F.col("c_acctbal") * 100).otherwise(F.col("c_acctbal")), 2)
-    grids = t("customer").groupBy("c_nationkey").agg(F.sort_array(F.collect_list(F.struct("c_custkey", F.array(F.lit("name"), money(F.abs(v))).alias("r")))).alias("r"))
+    grids = t("customer").where("c_nationkey is not null").groupBy("c_nationkey").agg(F.sort_array(F.collect_list(F.struct("c_custkey", F.array(F.lit("name"), money(F.abs(v))).alias("r")))).alias("r"))
     out = tables.parse_tables(grids.select("c_nationkey", F.concat(F.array(F.array(F.lit("项目"), F.lit("金额"))), F.transform("r", lambda x: x["r"])).alias("grid")))
-    return told(out, "c_nationkey", "anomaly_flags").where("reason = 'extreme_value'").select("c_nationkey", "value", F.round("z_score", 1).alias("z_score"))
+    return told(out, "c_nationkey", "anomaly_flags").where("reason = 'extreme_value'").select("c_nationkey", "value", F.round("deviations", 1).alias("z_score"))
 
 
 _WORDS = ("资产总计", "货币资金", "净利润", "管理费用", "投资活动", "前期差错更正", "数量", "单价")

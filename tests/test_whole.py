@@ -97,3 +97,21 @@ def test_references_and_entities_meet_without_broadcast(spark, tmp_path):
     planned = out._jdf.queryExecution().executedPlan().toString()
     assert len(out.collect()) == 3 * 49
     assert "Broadcast" not in planned + out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_zscores_are_rounded_once(spark, tmp_path):
+    """Every outlier among 30 equal steps, by whole numbers; a score of x.x45 and more must not go up twice.  Customers
+    without a nation are in no table."""
+    nations = {n: [*range(1, 31), 200 + n] for n in range(200)}
+    rows = [(1000 * n + i + 1, n, float(x)) for n, xs in nations.items() for i, x in enumerate(xs)] + [(900_001 + i, None, float(x)) for i, x in enumerate(nations[0])]
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+
+    def scores(xs: list[int]) -> list[float]:
+        mean = sum(xs) / len(xs)
+        std = (sum((x - mean) ** 2 for x in xs) / len(xs)) ** 0.5
+        return [z for x in xs if (z := abs(x - mean) / std) > 5]
+
+    want = {n: zs for n, xs in nations.items() if (zs := scores(xs))}
+    assert any(round(round(z, 2), 1) != round(z, 1) for zs in want.values() for z in zs)  # else the test tells nothing
+    got = {r.c_nationkey: (r.value, r.z_score) for r in queries.QUERIES["anomaly_zscore"](spark, str(tmp_path)).collect()}
+    assert got == {n: (200.0 + n, round(z, 1)) for n, (z,) in want.items()}
